@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lipika.llm import media, packing, sharding
+from lipika.llm import lzprint, media, packing, sharding, simhash
 from lipika.llm.common import new_dir, table
 
 #: Name of the vocabulary file; the folder is the installed package's.
@@ -29,12 +29,20 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_harmonic_packing, op10_jump_sharding)}
+    return {f.__name__: f for f in (op1_media_columns, op2_harmonic_packing, op4_lempel_ziv_fingerprints, op9_simhash_near_dedup, op10_jump_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
