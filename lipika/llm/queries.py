@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lipika.llm import lzprint, media, packing, sharding, simhash, toxicity
+from lipika.llm import langid, lzprint, media, packing, sharding, simhash, toxicity
 from lipika.llm.common import new_dir, table
 
 #: Name of the vocabulary file; the folder is the installed package's.
@@ -38,6 +38,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_harmonic_packing, op4_lempel_ziv_fingerprints, op6_toxicity, op9_simhash_near_dedup, op10_jump_sharding)}
+    return {f.__name__: f for f in (op1_media_columns, op2_harmonic_packing, op4_lempel_ziv_fingerprints, op6_toxicity, op7_language_id, op9_simhash_near_dedup, op10_jump_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
