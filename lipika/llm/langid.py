@@ -49,8 +49,8 @@ class Model:
     grams: dict[str, int]
     table: np.ndarray
     memo: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
-    known: np.ndarray | None = None
+    seen: np.ndarray | None = None
+    used: int = 0
 
     def learn(self, token: str) -> np.ndarray | None:
         """The token's log likelihoods; None without letters."""
@@ -69,31 +69,28 @@ class Model:
         if not self.languages:
             return UNDETERMINED, 0.0
         tokens = text.split()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-            self.rows.clear()
-            self.known = None
         memo = self.memo
-        for token in {t for t in tokens if t not in memo}:
-            row = self.learn(token)
-            memo[token] = -1 if row is None else len(self.rows)
-            if row is not None:
-                self.rows.append(row)
-                self.known = None
+        if self.seen is None or len(memo) > MEMO_WORDS:
+            memo.clear()
+            # row 0: tokens without letters, which count for nothing
+            self.seen, self.used = np.zeros((1024, len(self.languages))), 1
+        for token in tokens:
+            if token not in memo:
+                row = self.learn(token)
+                memo[token] = 0 if row is None else self.used
+                if row is not None:
+                    if self.used == len(self.seen):
+                        self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+                    self.seen[self.used] = row
+                    self.used += 1
         at = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
-        at = at[at >= 0]
-        if not len(at):
+        if not at.any():
             return UNDETERMINED, 0.0
-        total = sum(self.rows[i] for i in at.tolist()) if len(at) < 64 else self.stack()[at].sum(axis=0)
+        total = self.seen[at].sum(axis=0)
         weights = np.exp(total - total.max())
         best = int(np.argmax(weights))
         return self.languages[best], float(weights[best] / weights.sum())
 
-    def stack(self) -> np.ndarray:
-        if self.known is None:
-            self.known = np.array(self.rows)
-        return self.known
-
 
 def held_out(key: Column, folds: int = 3, fold: int = 1) -> Column:
     """Whether the CRC-32 of the key as text leaves ``fold`` modulo ``folds``; false for a null key."""
