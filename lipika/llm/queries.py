@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lipika.llm import langid, lzprint, media, packing, sharding, simhash, toxicity
+from lipika.llm import langid, lines, lzprint, media, mixing, packing, sharding, simhash, toxicity
 from lipika.llm.common import new_dir, table
 
 #: Name of the vocabulary file; the folder is the installed package's.
@@ -29,10 +29,35 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_page_lines(table(spark, sf_dir, "pages"))
+
+
 def op4_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def source_domain() -> Column:
+    """Sources up to number 11 are the web, the others the library; a source without number is neither."""
+    n = F.regexp_extract(F.coalesce("source", F.lit("")), r"^src(\d{1,6})$", 1)
+    return F.when(n == "", "other").when(n.cast("int") < 12, "web").otherwise("library")
+
+
+#: Weights of the training mix: English first, the library above its size, the largest source below its own.
+MIX = mixing.Node(
+    children={
+        "web": mixing.Node(0.6, {"en": mixing.Node(0.55, {"src0": mixing.Node(0.5)}), "de": mixing.Node(0.15, {"src0": mixing.Node(0.5)}), "fr": mixing.Node(0.15), "es": mixing.Node(0.15)}, 0.05),
+        "library": mixing.Node(0.4, {"en": mixing.Node(0.5), "de": mixing.Node(0.2), "fr": mixing.Node(0.15), "es": mixing.Node(0.15)}, 0.05),
+        "other": mixing.Node(0.05),
+    }
+)
+MIX_SEED = 20_240_607
+
+
+def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX, source_domain(), 0.75, 4, MIX_SEED)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,9 +76,22 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+QUERIES = (
+    op1_media_columns,
+    op2_harmonic_packing,
+    op3_line_dedup,
+    op4_lempel_ziv_fingerprints,
+    op5_hierarchical_mixing,
+    op6_toxicity,
+    op7_language_id,
+    op9_simhash_near_dedup,
+    op10_jump_sharding,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_harmonic_packing, op4_lempel_ziv_fingerprints, op6_toxicity, op7_language_id, op9_simhash_near_dedup, op10_jump_sharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": lines.PAGES_SQL}
