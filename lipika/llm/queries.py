@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lipika.llm import langid, lines, lzprint, media, mixing, packing, sharding, simhash, toxicity
+from lipika.llm import langid, lines, lzprint, media, mixing, packing, sharding, simhash, substrings, toxicity
 from lipika.llm.common import new_dir, table
 
 #: Name of the vocabulary file; the folder is the installed package's.
@@ -68,6 +68,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES = (
     op5_hierarchical_mixing,
     op6_toxicity,
     op7_language_id,
+    op8_substring_dedup,
     op9_simhash_near_dedup,
     op10_jump_sharding,
 )
