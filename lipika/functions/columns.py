@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
-from pyspark.sql import types as T
 
 from lipika.functions import alphabets as A, kernel, options as O
 
@@ -177,5 +176,4 @@ def register(spark: SparkSession) -> None:
             for n, x in enumerate(found.tokens(text) if found and text is not None else ()):
                 yield (n, "literal", None, None, x) if isinstance(x, str) else (n, A.CLASSES[x[0]], x[1], x[2], None)
 
-    schema = T.StructType().add("pos", "int").add("class", "string").add("idx", "int").add("kind", "string").add("literal", "string")
-    spark.udtf.register("translit_tokens", F.udtf(Tokens, returnType=schema))
+    spark.udtf.register("translit_tokens", F.udtf(Tokens, returnType="pos int, class string, idx int, kind string, literal string"))

@@ -25,12 +25,17 @@ def token_rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, pos, class, idx, literal): tokens in order; literals are verbatim parts or single characters; the text ends at an empty one."""
     spark = df.sparkSession
     folded = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if kernel.reader(source).fold else F.col(text)
-    pieces = df.select(F.col(key), F.posexplode(F.regexp_extract_all(folded, F.lit(piece_pattern(source)), F.lit(0))).alias("at", "piece"))
+    pieces = df.select(F.col(key), F.col(text).alias("whole"), F.posexplode(F.regexp_extract_all(folded, F.lit(piece_pattern(source)), F.lit(0))).alias("at", "piece"))
+    if kernel.reader(source).fold:  # verbatim pieces keep their case
+        past = F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("at"))
+        pieces = pieces.withColumn("spelled", F.substring("whole", (past - F.length("piece") + 1).cast("int"), F.length("piece")))
+    else:
+        pieces = pieces.withColumn("spelled", F.col("piece"))
     known = catalog.spellings(spark, source).drop("kind")
     tag = F.col("piece").startswith("<") & F.col("piece").endswith(">")
     verbatim = F.col("piece").startswith("##") & F.col("piece").endswith("##") & (F.length("piece") > 3)
     lost = ~tag & ~verbatim & (F.col("piece").startswith("<") | F.col("piece").startswith("##"))
-    literal = F.when(verbatim, F.substring("piece", F.lit(3), F.length("piece") - 4)).otherwise(F.col("piece"))
+    literal = F.when(verbatim, F.substring("spelled", F.lit(3), F.length("piece") - 4)).otherwise(F.col("spelled"))
     rows = pieces.join(F.broadcast(known), pieces["piece"] == known["spelling"], "left").where(F.col("class").isNotNull() | ~lost)
     rows = rows.select(
         key,
@@ -62,14 +67,12 @@ def unit_rows(tokens: DataFrame, key: str, source: str) -> DataFrame:
     else:
         joins = F.col("headed") & ~F.col("first") & ((F.col("head") == "consonant") | (F.col("head") == "vowel") & (F.col("n") == 0))
     rows = rows.withColumn("joins", joins)
-    part = F.when(F.col("joins"), F.struct("grp")).otherwise(F.struct(F.col("grp")))
     own = rows.where(~F.col("joins")).select(key, "pos", "grp", "class", "idx", "literal", "first", "headed")
     slots = (
         rows.where("joins")
         .groupBy(key, "grp")
         .agg(*[F.max_by("idx", F.when(F.col("class").isin(*c), F.col("pos"))).alias(n) for n, c in (("mark", ("mark", "vowel")), ("sign", ("other",)), ("accent", ("accent",)))])
     )
-    del part
     joined = own.join(slots, [key, "grp"], "left")
     head = F.col("first") & F.col("headed")
     mark = F.when(head & (F.col("class") == "consonant"), F.when(F.col("mark").isNull(), 0).otherwise(F.when(F.col("mark") != 0, F.col("mark")))) if latin else F.when(head, F.col("mark"))
