@@ -22,7 +22,7 @@ def piece_pattern(source: str) -> str:
 
 
 def token_rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, pos, class, idx, literal): tokens in order; literals are verbatim parts or single characters; the text ends at an empty one."""
+    """(key, pos, class, idx, literal): tokens in order; literals are verbatim parts or single characters."""
     spark = df.sparkSession
     folded = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if kernel.reader(source).fold else F.col(text)
     pieces = df.select(F.col(key), F.col(text).alias("whole"), F.posexplode(F.regexp_extract_all(folded, F.lit(piece_pattern(source)), F.lit(0))).alias("at", "piece"))
@@ -37,19 +37,19 @@ def token_rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     lost = ~tag & ~verbatim & (F.col("piece").startswith("<") | F.col("piece").startswith("##"))
     literal = F.when(verbatim, F.substring("spelled", F.lit(3), F.length("piece") - 4)).otherwise(F.col("spelled"))
     rows = pieces.join(F.broadcast(known), pieces["piece"] == known["spelling"], "left").where(F.col("class").isNotNull() | ~lost)
-    rows = rows.select(
+    return rows.select(
         key,
         (F.col("at") * 8 + F.coalesce("sub", F.lit(0))).alias("pos"),
         F.coalesce("class", F.lit("literal")).alias("class"),
         "idx",
         F.when(F.col("class").isNull(), literal).alias("literal"),
     )
-    end = F.min(F.when(F.col("literal") == "", F.col("pos"))).over(Window.partitionBy(key))
-    return rows.withColumn("end", end).where(F.col("end").isNull() | (F.col("pos") < F.col("end"))).drop("end")
 
 
 def unit_rows(tokens: DataFrame, key: str, source: str) -> DataFrame:
-    """(key, pos, class, idx, mark, sign, accent, literal): units from ``token_rows``."""
+    """(key, pos, class, idx, mark, sign, accent, literal): units from ``token_rows``; an empty literal ends a text."""
+    end = F.min(F.when(F.col("literal") == "", F.col("pos"))).over(Window.partitionBy(key))
+    tokens = tokens.withColumn("end", end).where(F.col("end").isNull() | (F.col("pos") < F.col("end"))).drop("end")
     latin = kernel.reader(source).kind == A.LATIN
     joining = ("vowel", "mark", "other", "accent") if latin else ("mark", "other", "accent")
     order = Window.partitionBy(key).orderBy("pos")

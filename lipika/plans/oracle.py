@@ -35,11 +35,11 @@ found AS (SELECT {key}, place * 8 + coalesce(sub, 0) AS pos, coalesce(k.cls, -1)
   CASE WHEN k.cls IS NULL THEN CASE WHEN piece LIKE '##%##' AND length(piece) > 3 THEN substr({spelled}, 3, length(piece) - 4) ELSE {spelled} END END AS lit
   FROM cut LEFT JOIN known k ON piece = spelling
   WHERE (k.cls IS NOT NULL OR piece LIKE '<%>' OR piece LIKE '##%##' AND length(piece) > 3 OR NOT (starts_with(piece, '<') OR starts_with(piece, '##'))) {no_accent})
-SELECT {key}, pos, cls, idx, lit FROM (SELECT *, min(CASE WHEN lit = '' THEN pos END) OVER (PARTITION BY {key}) AS stop FROM found) WHERE stop IS NULL OR pos < stop)"""
+SELECT {key}, pos, cls, idx, lit FROM found)"""
 
 
 def units(relation: str, key: str, text: str, source: str, mask: int = 0) -> str:
-    """A query for (key, pos, cls, idx, mark, sign, accent, lit); -1 is an empty slot, class -1 verbatim text."""
+    """A query for (key, pos, cls, idx, mark, sign, accent, lit); -1 is an empty slot, class -1 verbatim text; an empty one ends it."""
     latin = kernel.reader(source).kind == A.LATIN
     joining = (A.VOWEL, A.MARK, A.OTHER, A.ACCENT) if latin else (A.MARK, A.OTHER, A.ACCENT)
     counted = A.VOWEL if latin else A.MARK
@@ -50,7 +50,8 @@ def units(relation: str, key: str, text: str, source: str, mask: int = 0) -> str
         joins = f"grp > 0 AND NOT lead_row AND (head = {A.CONSONANT} OR head = {A.VOWEL} AND n = 0)"
         mark = "coalesce(m, -1)"
     return f"""
-(WITH t AS (SELECT * FROM {tokens(relation, key, text, source, mask)}),
+(WITH t0 AS (SELECT * FROM {tokens(relation, key, text, source, mask)}),
+t AS (SELECT {key}, pos, cls, idx, lit FROM (SELECT *, min(CASE WHEN lit = '' THEN pos END) OVER (PARTITION BY {key}) AS stop FROM t0) WHERE stop IS NULL OR pos < stop),
 g AS (SELECT *, sum(CASE WHEN cls IN ({", ".join(map(str, joining))}) THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY pos) AS grp FROM t),
 h AS (SELECT *, first_value(cls) OVER w AS head, row_number() OVER w = 1 AS lead_row, sum(CASE WHEN cls = {counted} THEN 1 ELSE 0 END) OVER w AS n
   FROM g WINDOW w AS (PARTITION BY {key}, grp ORDER BY pos)),

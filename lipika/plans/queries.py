@@ -98,8 +98,10 @@ def units_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relational_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relational form of the stages, written out: the same as the kernel's."""
-    rows = relational.unit_rows(relational.token_rows(conversations(spark, sf_dir), "turn_id", "text", "itrans"), "turn_id", "itrans")
-    return relational.render_rows(rows, "turn_id", "devanagari").select("turn_id", F.col("transliterated").alias("out"))
+    df = conversations(spark, sf_dir)
+    rows = relational.unit_rows(relational.token_rows(df, "turn_id", "text", "itrans"), "turn_id", "itrans")
+    out = F.when(F.col("text").isNotNull(), F.coalesce("transliterated", F.lit("")))  # a text without units has no rows
+    return df.join(relational.render_rows(rows, "turn_id", "devanagari"), "turn_id", "left").select("turn_id", out.alias("out"))
 
 
 def strippers(spark: SparkSession, sf_dir: str) -> DataFrame:
