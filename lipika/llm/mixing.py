@@ -9,6 +9,7 @@ the next epoch, in that epoch's seeded order, the longest prefix that fits.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window
@@ -20,6 +21,7 @@ MAX_LEAVES = 100_000
 #: A leaf's order is cut into so many parts, of which only the one that the budget ends in is summed row by row.
 PARTS = 1024
 PATH = ("domain", "lang", "source")
+MILLION = 1_000_000
 
 
 @dataclass
@@ -35,16 +37,20 @@ class Node:
 
 
 def fill(budget: int, weights: list[float], limits: list[int]) -> list[int]:
-    """``budget`` shared by weight, nobody above its limit, shortages to the others by weight; whole numbers, rounded down."""
-    order = sorted((i for i, w in enumerate(weights) if w > 0), key=lambda i: limits[i] / weights[i])
-    out, left, weight = [0] * len(weights), budget, sum(weights[i] for i in order)
+    """``budget`` shared by weight, nobody above its limit, shortages to the others by weight.
+
+    Weights count in millionths and shares are rounded down, so that every engine gets the same.
+    """
+    parts = [round(w * MILLION) for w in weights]
+    order = sorted((i for i, w in enumerate(parts) if w > 0), key=lambda i: Fraction(limits[i], parts[i]))
+    out, left, weight = [0] * len(weights), budget, sum(parts[i] for i in order)
     for n, i in enumerate(order):
-        if limits[i] <= left * weights[i] / weight:
+        if limits[i] * weight <= left * parts[i]:
             out[i] = limits[i]
-            left, weight = left - limits[i], weight - weights[i]
+            left, weight = left - limits[i], weight - parts[i]
         else:
             for j in order[n:]:
-                out[j] = min(limits[j], int(left * weights[j] / weight))
+                out[j] = min(limits[j], left * parts[j] // weight)
             break
     return out
 
@@ -156,3 +162,55 @@ def keep_mixed(docs: DataFrame, root: Node, domain: Column, share: float, seed:
     same = [F.coalesce(c.cast("string"), F.lit("")) == F.col(f"__{n}") for n, c in zip(PATH, (domain, F.col("lang"), F.col("source")))]
     rank = epoch_rank(F.col("doc_id").cast("long"), F.col("__epochs"), seed)
     return docs.join(F.broadcast(cuts), same[0] & same[1] & same[2]).where((F.col("__epochs") > 0) | (rank <= F.col("__last"))).select(*docs.columns)
+
+
+def mix_sql(root: Node, domain: str, share: float, epochs: int, seed: int) -> str:
+    """DuckDB's form of ``mix`` over ``documents``; ``domain`` is SQL for a document's domain."""
+    named = {(): root}
+    for _ in PATH:
+        named |= {(*path, name): child for path, node in named.items() for name, child in node.children.items()}
+    weights = [(*(x.replace("'", "''") for x in (*path, "", "", "")[:3]), len(path), round(node.weight * MILLION)) for path, node in named.items() if path]
+    defaults = [(*(x.replace("'", "''") for x in (*path, "", "")[:2]), len(path), round(node.default * MILLION)) for path, node in named.items() if len(path) < 3]
+    rows = lambda found: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in found)
+    levels = []
+    for n in range(1, 4):
+        keys, above = PATH[:n], PATH[: n - 1]
+        default = f"coalesce((SELECT weight FROM defaults d WHERE d.depth = {n - 1}" + "".join(f" AND d.{k} = l.{k}" for k in above) + f"), {MILLION})"
+        named_weight = f"(SELECT weight FROM weights w WHERE w.depth = {n} AND " + " AND ".join(f"w.{k} = l.{k}" for k in keys) + ")"
+        levels.append(
+            f"""w{n} AS (SELECT DISTINCT {', '.join(keys)}, coalesce({named_weight}, {default}) AS weight FROM leaves l),
+"""
+        )
+    joins = " ".join(f"JOIN w{n} USING ({', '.join(PATH[:n])})" for n in (1, 2, 3))
+    levels.append("b0 AS (SELECT total AS budget FROM total),\n")
+    for n in range(1, 4):
+        keys, above = PATH[:n], PATH[: n - 1]
+        over = f"PARTITION BY {', '.join(above)} " if above else ""
+        link = f"JOIN b{n - 1} USING ({', '.join(above)})" if above else "CROSS JOIN b0"
+        # a node's own weight of zero is no limit on what it can use: its siblings' sharing leaves it out
+        below = " AND ".join(f"w{m}.weight > 0" for m in range(n + 1, 4)) or "true"
+        supply = f"sum(CASE WHEN {below} THEN tokens * {epochs} ELSE 0 END)"
+        levels.append(
+            f"""c{n} AS (SELECT {', '.join(keys)}, any_value(w{n}.weight) AS weight, CAST({supply} AS HUGEINT) AS cap FROM leaves {joins} GROUP BY {', '.join(keys)}),
+f{n} AS (SELECT c{n}.*, CAST(budget AS HUGEINT) - coalesce(sum(cap) OVER o, 0) AS room, sum(weight) OVER ({over}) - coalesce(sum(weight) OVER o, 0) AS rest
+  FROM c{n} {link} WHERE weight > 0 WINDOW o AS ({over}ORDER BY CAST(cap AS DOUBLE) / weight, {keys[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g{n} AS (SELECT *, min(CASE WHEN cap * rest > room * weight THEN CAST(cap AS DOUBLE) / weight END) OVER ({over}) AS stop,
+  max(CASE WHEN cap * rest > room * weight THEN rest END) OVER ({over}) AS stop_rest, max(CASE WHEN cap * rest > room * weight THEN room END) OVER ({over}) AS stop_room FROM f{n}),
+b{n} AS (SELECT {', '.join(keys)}, CAST(CASE WHEN cap * rest <= room * weight THEN cap ELSE least(cap, stop_room * weight // stop_rest) END AS BIGINT) AS budget FROM g{n}
+  UNION ALL SELECT {', '.join(keys)}, 0 FROM c{n} WHERE weight <= 0),
+"""
+        )
+    rank = f"CAST(concat('0x', substr(md5(concat('{seed}|', b // nullif(n, 0), '|', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 15)) AS BIGINT)"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce({domain}, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM docs GROUP BY ALL),
+total AS (SELECT CAST(floor({share!r} * sum(tokens)) AS BIGINT) AS total FROM leaves),
+weights(domain, lang, source, depth, weight) AS (VALUES {rows(weights)}),
+defaults(domain, lang, depth, weight) AS (VALUES {rows(defaults)}),
+{''.join(levels)}ranked AS (SELECT docs.*, b3.budget AS b, leaves.tokens AS n FROM docs JOIN leaves USING (domain, lang, source) JOIN b3 USING (domain, lang, source)),
+placed AS (SELECT *, {rank} AS place FROM ranked),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM placed),
+taken AS (SELECT *, CASE WHEN n > 0 THEN CAST(b // n AS BIGINT) + CASE WHEN b % n > 0 AND upto <= b % n THEN 1 ELSE 0 END ELSE 0 END AS copies FROM summed)
+SELECT doc_id, domain, lang, source, tokens, b AS budget, CAST(copies AS BIGINT) AS copies FROM taken WHERE copies > 0
+"""

@@ -43,6 +43,10 @@ def source_domain() -> Column:
     return F.when(n == "", "other").when(n.cast("int") < 12, "web").otherwise("library")
 
 
+SOURCE_DOMAIN_SQL = r"""CASE WHEN regexp_extract(coalesce(source, ''), '^src(\d{1,6})$', 1) = '' THEN 'other'
+  WHEN CAST(regexp_extract(coalesce(source, ''), '^src(\d{1,6})$', 1) AS INTEGER) < 12 THEN 'web' ELSE 'library' END"""
+
+
 #: Weights of the training mix: English first, the library above its size, the largest source below its own.
 MIX = mixing.Node(
     children={
@@ -99,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.PAGES_SQL}
+    return {"op3_line_dedup": lines.PAGES_SQL, "op5_hierarchical_mixing": mixing.mix_sql(MIX, SOURCE_DOMAIN_SQL, 0.75, 4, MIX_SEED)}
