@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of sessions whose setting is unset, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lipika-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="lipika-")
+        _OWN[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -47,5 +51,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Rows of an Arrow batch between Spark and Python: whole texts make Spark's default of 10,000 rows tens of megabytes, several times over.
+BATCH_ROWS = 1_000
+
+
+def map_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
+    """``df.mapInArrow``, in batches of at most ``BATCH_ROWS`` rows (the session's setting is lowered to that)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, ddl)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
