@@ -172,9 +172,9 @@ def shared_bitmap(shared: DataFrame) -> np.ndarray:
     n = shared.count()
     bits = min(max(BITMAP[0], (16 * max(n, 1)).bit_length()), BITMAP[1])
     low = F.col("shard").bitwiseAND(F.lit((1 << bits) - 1))
-    words = shared.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shard & 63 AS INT))")).alias("bits")).toPandas()
+    words = shared.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shard & 63 AS INT))")).alias("bits")).toArrow()
     out = np.zeros((1 << bits) >> 6, dtype=np.int64)
-    out[words["at"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 
