@@ -13,8 +13,21 @@ from lipika.functions import alphabets as A, kernel, options as O
 
 TOKEN = "struct<pos:int,class:string,idx:int,kind:string,literal:string>"
 UNIT = "struct<pos:int,class:string,idx:int,mark:int,sign:int,accent:int,literal:string>"
-_TOKEN_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("class", pa.string()), ("idx", pa.int32()), ("kind", pa.string()), ("literal", pa.string())]))
-_UNIT_TYPE = pa.list_(pa.struct([(n, pa.string() if n in ("class", "literal") else pa.int32()) for n in ("pos", "class", "idx", "mark", "sign", "accent", "literal")]))
+
+
+def _lists(rows: list[list[tuple] | None], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """Arrow lists of structs from rows of tuples, column by column; null for None."""
+    offsets, flat = [0], []
+    for row in rows:
+        flat.extend(row or ())
+        offsets.append(len(flat))
+    columns = zip(*flat) if flat else [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=pa.array([r is None for r in rows]))
+
+
+_TOKEN_FIELDS = [(n, pa.string() if n in ("class", "kind", "literal") else pa.int32()) for n in ("pos", "class", "idx", "kind", "literal")]
+_UNIT_FIELDS = [(n, pa.string() if n in ("class", "literal") else pa.int32()) for n in ("pos", "class", "idx", "mark", "sign", "accent", "literal")]
 
 
 def _mask(options: int | str) -> int:
@@ -49,17 +62,15 @@ def tokens(text: Column | str, source: str, options: int | str = 0) -> Column:
     if kernel.reader(source) is None:
         return F.lit(None).cast(f"array<{TOKEN}>")
 
-    def one(t: str | None) -> list[dict] | None:
+    def one(t: str | None) -> list[tuple] | None:
         if t is None:
             return None
-        return [
-            {"pos": n, "class": "literal", "literal": x} if isinstance(x, str) else {"pos": n, "class": A.CLASSES[x[0]], "idx": x[1], "kind": x[2]}
-            for n, x in enumerate(kernel.reader(source).tokens(t, mask))
-        ]
+        found = enumerate(kernel.reader(source).tokens(t, mask))
+        return [(n, "literal", None, None, x) if isinstance(x, str) else (n, A.CLASSES[x[0]], x[1], x[2], None) for n, x in found]
 
     @F.arrow_udf(f"array<{TOKEN}>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([one(t) for t in texts.to_pylist()], _TOKEN_TYPE)
+        return _lists([one(t) for t in texts.to_pylist()], _TOKEN_FIELDS)
 
     return run(_column(text).cast("string"))
 
@@ -69,24 +80,24 @@ def units(text: Column | str, source: str, options: int | str = 0) -> Column:
     mask = _mask(options)
     if kernel.reader(source) is None:
         return F.lit(None).cast(f"array<{UNIT}>")
-    slot = lambda i: None if i < 0 else i
+    slots = [*range(max(map(len, A.scripts()["devanagari"].glyphs))), None]  # -1 is an empty slot
 
-    def one(t: str | None) -> list[dict] | None:
+    def one(t: str | None) -> list[tuple] | None:
         if t is None:
             return None
-        out = []
+        out: list[tuple] = []
         for n, u in enumerate(kernel.units(kernel.reader(source).tokens(t, mask), mask)):
             if isinstance(u, str):
-                out.append({"pos": n, "class": "literal", "literal": u})
+                out.append((n, "literal", None, None, None, None, u))
             elif u[1] < 0:
-                out.append({"pos": n, "class": "ignored"})
+                out.append((n, "ignored", None, None, None, None, None))
             else:
-                out.append({"pos": n, "class": A.CLASSES[u[1]], "idx": u[2], "mark": slot(u[3]), "sign": slot(u[4]), "accent": slot(u[5])})
+                out.append((n, A.CLASSES[u[1]], u[2], slots[u[3]], slots[u[4]], slots[u[5]], None))
         return out
 
     @F.arrow_udf(f"array<{UNIT}>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([one(t) for t in texts.to_pylist()], _UNIT_TYPE)
+        return _lists([one(t) for t in texts.to_pylist()], _UNIT_FIELDS)
 
     return run(_column(text).cast("string"))
 

@@ -119,8 +119,8 @@ translate(out, {q("".join(A.VEDIC_ACCENTS + A.LATIN_ACCENTS))}, '') AS plain FRO
 
 def accent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accents dropped at the source: tokens with and without the option."""
-    there = conversations(spark, sf_dir).select("turn_id", "text")
-    return there.select("turn_id", F.size(C.tokens("text", "iso")).cast("long").alias("n_all"), F.size(C.tokens("text", "iso", O.IGNORE_ACCENTS)).cast("long").alias("n_kept"))
+    count = lambda mask: F.size(F.filter(C.tokens("text", "iso", mask), lambda t: t["class"] != "literal")).cast("long")
+    return conversations(spark, sf_dir).select("turn_id", count(0).alias("n_all"), count(O.IGNORE_ACCENTS).alias("n_kept"))
 
 
 NAMES = ["Devanagari", "HINDI", "bangla", "odia", "Indic", "iast", "readablelatin", "klingon", "TamilExtended", "", "punjabi", "sanskrit"]
@@ -272,7 +272,7 @@ def pairs() -> dict[str, tuple[Query, str | None]]:
     tokens = oracle.tokens("documents", "doc_id", "text", "itrans")
     counted = oracle.units("documents", "doc_id", "text", "itrans")
     both = [oracle.tokens(TURNS, "turn_id", "text", "iso", m) for m in (0, O.IGNORE_ACCENTS)]
-    runs = lambda t: f"(SELECT turn_id, count(*) FILTER (cls >= 0 OR prev >= 0 OR prev IS NULL) AS n FROM (SELECT *, lag(cls) OVER (PARTITION BY turn_id ORDER BY pos) AS prev FROM {t}) GROUP BY turn_id)"
+    runs = lambda t: f"(SELECT turn_id, count(*) FILTER (cls >= 0) AS n FROM {t} GROUP BY turn_id)"
     return out | {
         "translit_by_lang": (by_lang, f"SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS chars_in, CAST(sum(length(out)) AS BIGINT) AS chars_out FROM documents JOIN {docs} USING (doc_id) GROUP BY lang"),
         "roundtrip_itrans_devanagari": (roundtrip, f"SELECT a.turn_id, a.out AS deva, b.out AS back FROM {deva} a JOIN {again('itrans')} b USING (turn_id)"),
@@ -287,7 +287,7 @@ def pairs() -> dict[str, tuple[Query, str | None]]:
         ),
         "relational_itrans_devanagari": (relational_units, f"SELECT * FROM {deva}"),
         "strip_markers_numerals_accents": (strippers, strippers_sql()),
-        "accent_filter": (accent_filter, f"SELECT turn_id, a.n AS n_all, b.n AS n_kept FROM {runs(both[0])} a JOIN {runs(both[1])} b USING (turn_id)"),
+        "accent_filter": (accent_filter, f"SELECT turn_id, coalesce(a.n, 0) AS n_all, coalesce(b.n, 0) AS n_kept FROM {TURNS} LEFT JOIN {runs(both[0])} a USING (turn_id) LEFT JOIN {runs(both[1])} b USING (turn_id)"),
         "script_names": (names, names_sql()),
         "script_catalog": (script_catalog, script_catalog_sql()),
         "option_masks": (option_masks, option_masks_sql()),
