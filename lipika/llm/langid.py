@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lipika.llm.common import materialize
+from lipika.llm.common import map_arrow, materialize
 
 #: Documents that the model is fitted on, for each language, at most about (a hash of key and text picks them).
 SAMPLE_DOCUMENTS = 4_000
@@ -26,7 +26,7 @@ LONGEST = 5
 #: Added to each count.
 ALPHA = 0.1
 #: Words remembered in each worker; beyond it the memory starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 UNDETERMINED = "und"
 
 
@@ -124,13 +124,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             )
 
     counts = materialize(
-        chosen.select("t", "l").mapInArrow(counted, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words"
+        map_arrow(chosen.select("t", "l"), counted, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words"
     )
     column = {l: i for i, l in enumerate(languages)}
     words: dict[str, np.ndarray] = {}
     for l in languages:
-        best = counts.where((F.col("l") == l) & (F.col("n") > 1)).orderBy(F.col("n").desc(), "w").limit(MODEL_WORDS).toPandas()
-        for w, n in zip(best["w"], best["n"].tolist()):
+        best = counts.where((F.col("l") == l) & (F.col("n") > 1)).orderBy(F.col("n").desc(), "w").limit(MODEL_WORDS).toArrow()
+        for w, n in zip(best["w"].to_pylist(), best["n"].to_pylist()):
             words.setdefault(w, np.zeros(len(languages)))[column[l]] = n
     by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
     for w, n in words.items():
@@ -181,7 +181,7 @@ def _predicted(rows: DataFrame, model: Model, ddl: str) -> DataFrame:
                 [*batch.columns[:n], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names
             )
 
-    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return map_arrow(rows, run, f"{ddl}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -192,11 +192,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", te
     model = fit(docs, key, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def identified(texts):
-        import pandas as pd
-
-        found = (shared.value.predict(t or "") for t in texts)
-        return pd.Series([l != UNDETERMINED and s >= least for l, s in found], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (shared.value.predict(t.as_py() or "") for t in batch.column(text))
+            yield batch.filter(pa.array([l != UNDETERMINED and s >= least for l, s in found], pa.bool_()))
 
-    return docs.where(identified(F.col(text)))
+    return map_arrow(docs, run, docs.schema)

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Words whose ids are remembered in each worker; beyond it the memory starts anew (a speed setting, not a limit).
-MEMO_WORDS = 400_000
+from lipika.llm.common import map_arrow
+
+#: Words, and runs within words, whose ids are remembered in each worker; beyond it the memory starts anew (a speed setting, not a limit).
+MEMO_WORDS = 150_000
 
 OUT = pa.schema(
     [
@@ -204,4 +206,4 @@ def pack(
         packer.finish()
         yield packer.drain()
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, OUT_DDL)
+    return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("string")), run, OUT_DDL)

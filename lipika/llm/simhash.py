@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lipika.llm.common import broadcast_if_small, materialize, partitions
+from lipika.llm.common import broadcast_if_small, map_arrow, materialize, partitions
 
 SEED = 42
 #: Rows of a tile; a pair of tiles is one unit of work.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                     out[i] = simhash(np.array(found, dtype=np.uint64))[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")), run, "doc_id long, fp long")
 
 
 def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
@@ -95,7 +95,7 @@ def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 sizes.append(len(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp binary, n long")
+    return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")), run, "doc_id long, fp binary, n long")
 
 
 # ---- tiles
@@ -345,8 +345,8 @@ def keep_one_of_each(
     fingerprints of ``64 * words`` bits differ in at most the share of bits expected at that similarity, arccos(2 s / (1 + s)) / pi, plus
     ``slack``, and so many shingles are in the smaller set.  All pairs of documents with such numbers of shingles are compared.
 
-    A null or wordless text is a document without shingles, alike to all of that kind; a null key is kept only if its
-    group has no other; of repeated rows one stays; an empty table stays empty; all columns come back as they were.
+    A null or wordless text is a document without shingles, alike to all of that kind.  Rows are kept by key: all rows with a kept key stay, repeated ones
+    too, and rows with a null key stay if some group has no other key.  An empty table stays empty; all columns come back as they were.
     """
     spark = docs.sparkSession
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
