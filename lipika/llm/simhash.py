@@ -11,10 +11,15 @@ that can be linked into the same tile, and lose none:
 Groups over ``TILE`` rows are split into tiles by class (for blocks: the population count) and hash; a pair of tiles is made
 only if their classes are near enough (population counts within the radius), and each pair is a task's unit of work
 of bounded size.  A unit returns a spanning forest of its links, never all pairs; ``components`` joins the forests.
+
+Near copies are linked by the exact Jaccard similarity of their shingles.  A first comparison of fingerprints finds candidates, with so much slack
+that none is missed; a second one runs in each component of candidates, whose rows carry their shingles' hashes, and checks a pair
+before it can join two trees.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,12 @@ SMALL = 24
 STRIP, SPAN = 16, 4096
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 15
+#: Rows of a tile where rows carry their shingles' hashes.
+SET_TILE = 1024
+#: Standard deviations that candidates' differing bits may lie above the number expected at the similarity asked for.
+DEVIATIONS = 5
+#: Common shingles up to which the expected share of differing bits is counted out; it falls to its limit from above.
+COUNTED = 64
 
 
 # ---- fingerprints
@@ -83,19 +94,76 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")), run, "doc_id long, fp long")
 
 
+def shingle_set(raw: bytes, size: int) -> tuple[np.ndarray, bytes]:
+    """The distinct shingles' hashes in order, and their digest."""
+    values = np.unique(np.array(shingle_hashes(raw, size), dtype=np.uint64))
+    return values, xxhash.xxh3_128_digest(values.astype("<u8").tobytes())
+
+
 def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
-    """(doc_id, fp, n): ``64 * words``-bit fingerprint over the distinct shingles, as bytes, and how many they are."""
+    """(doc_id, fp, n, digest): ``64 * words``-bit fingerprint over the distinct shingles, as bytes, how many they are, and the set's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes = [], []
+            fps, sizes, digests = [], [], []
             for raw in batch.column(1):
-                values = np.unique(np.array(shingle_hashes(raw.as_py() or b"", shingle), dtype=np.uint64))
+                values, digest = shingle_set(raw.as_py() or b"", shingle)
                 fps.append(simhash(values, words).astype("<u8").tobytes())
                 sizes.append(len(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n"])
+                digests.append(digest)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "fp", "n", "digest"]
+            )
+
+    columns = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary"))
+    return map_arrow(columns, run, "doc_id long, fp binary, n long, digest binary")
+
+
+def shingle_sets(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(digest, shingles): the distinct shingles' hashes, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(raw.as_py() or b"", shingle) for raw in batch.column(0)]
+            sets = [values.astype("<u8").tobytes() for values, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array([d for _, d in found], pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
+
+    return map_arrow(docs.select(F.col(text).cast("string").cast("binary")), run, "digest binary, shingles binary")
+
+
+def differing_shares(similarity: float) -> np.ndarray:
+    """By the smaller set's size (the last entry is for all larger ones): the largest share of bits in which fingerprints of sets at ``similarity``
+    or more are expected to differ.
+
+    The limit is arccos(2 s / (1 + s)) / pi.  Small sets are above it, and for them every case is counted out: a bit is the majority of
+    fair coins, of which the two sets have the common ones together and toss the others on their own.
+    """
+    limit = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    out = np.zeros(COUNTED + 1)
+
+    def chances(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
 
-    return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")), run, "doc_id long, fp binary, n long")
+    def set_given(common: int, own: int) -> np.ndarray:
+        """Chance of a set bit for each number of common shingles that have it."""
+        p = chances(own)
+        return np.array([p[max(0, (common + own) // 2 + 1 - c) :].sum() for c in range(common + 1)])
+
+    for common in range(1, COUNTED + 1):
+        most = int(common * (1 / similarity - 1) + 1e-9)
+        given = [set_given(common, own) for own in range(most + 1)]
+        for x in range(most + 1):
+            for y in range(x, most + 1 - x):
+                share = float((chances(common) * (given[x] * (1 - given[y]) + given[y] * (1 - given[x]))).sum())
+                at = min(common + x, COUNTED)
+                out[at] = max(out[at], share)
+    out[COUNTED] = max(out[COUNTED], limit)
+    return np.maximum.accumulate(out[::-1])[::-1]
+
+
+def bits_within(share: np.ndarray, bits: int) -> np.ndarray:
+    """The differing bits of ``bits`` that a share stays within, by ``DEVIATIONS``."""
+    return np.ceil(bits * share + DEVIATIONS * (bits * share * (1 - share)) ** 0.5).astype(np.int64)
 
 
 # ---- tiles
@@ -117,25 +185,65 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class Comparer:
-    """Links within units of work: at most ``near`` differing bits in the first word and ``radius`` in all.
+    """Links within units of work: at most ``near`` differing bits in the first word, ``two`` (if given) in the first two, and ``radius`` in all.
 
     ``ratio`` tells what ``order`` holds: None for population counts (links differ by ``near`` at most), else sizes, of which linked ones
-    have at least this ratio.
+    have at least this ratio; ``near`` is then by the smaller size, the last entry for all larger ones.  With sets, links have that Jaccard similarity too.
     """
 
-    def __init__(self, radius: int, near: int, ratio: float | None):
-        self.radius, self.near, self.ratio = radius, near, ratio
+    def __init__(self, radius: int, near: int | np.ndarray, ratio: float | None, two: int | None = None):
+        self.radius, self.ratio, self.two = radius, ratio, two
+        self.nears = np.atleast_1d(near)
+        self.near = int(self.nears.max())
         self.x = np.empty((STRIP, SPAN), dtype=np.uint64)
         self.n = np.empty((STRIP, SPAN), dtype=np.uint8)
         self.hit = np.empty((STRIP, SPAN), dtype=bool)
+        self.sets: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def hold(self, sets: list[np.ndarray]) -> None:
+        """The sets of the rows that ``forest`` is called with next."""
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        values, members = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = members, np.concatenate(([0], np.cumsum(sizes))), np.zeros(len(values), dtype=bool)
+
+    def alike(self, a: int, b: np.ndarray) -> np.ndarray:
+        """Which of the rows ``b`` have the similarity to row ``a``, exactly."""
+        members, ends, mark = self.sets
+        own = members[ends[a] : ends[a + 1]]
+        sizes = ends[b + 1] - ends[b]
+        starts = np.cumsum(sizes) - sizes
+        mark[own] = True
+        hits = mark[members[np.repeat(ends[b] - starts, sizes) + np.arange(sizes.sum())]]
+        mark[own] = False
+        common = np.diff(np.concatenate(([0], np.cumsum(hits)))[np.append(starts, len(hits))])
+        return common >= self.ratio * np.maximum(len(own) + sizes - common, 1) - 1e-9
+
+    def link(self, fp: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, rows: np.ndarray) -> None:
+        """Join the trees of the pairs (a, b) that pass; ``rows`` are their places among the held sets."""
+        a, b = self.verify(fp, a, b)
+        if self.sets is None:
+            return merge(label, a, b)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for part in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1) if len(a) else []:
+            part = part[label[a[part]] != label[b[part]]]
+            while len(part):  # a few first: once they are linked, others may be too
+                now, part = part[:64], part[64:]
+                i = int(a[now[0]])
+                now = now[self.alike(int(rows[i]), rows[b[now]])]
+                merge(label, a[now], b[now])
+                part = part[label[a[part]] != label[b[part]]]
 
     def verify(self, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if fp.shape[1] == 1 or not len(a):
             return a, b
+        if self.two is not None:
+            keep = np.bitwise_count(fp[a, 0] ^ fp[b, 0]) + np.bitwise_count(fp[a, 1] ^ fp[b, 1]) <= self.two
+            a, b = a[keep], b[keep]
         keep = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= self.radius
         return a[keep], b[keep]
 
-    def shifted(self, fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, most: int, label: np.ndarray) -> None:
+    def shifted(self, fp: np.ndarray, group: np.ndarray, side: np.ndarray | None, most: int, label: np.ndarray, rows: np.ndarray) -> None:
         """All pairs in groups of at most ``most`` rows, the rows being sorted by group."""
         for d in range(1, most):
             hit = group[d:] == group[:-d]
@@ -143,16 +251,17 @@ class Comparer:
                 hit &= side[d:] != side[:-d]
             hit &= np.bitwise_count(fp[d:, 0] ^ fp[:-d, 0]) <= self.near
             a = np.flatnonzero(hit)
-            merge(label, *self.verify(fp, a, a + d))
+            self.link(fp, a, a + d, label, rows)
 
-    def matrix(self, fp: np.ndarray, order: np.ndarray, split: int | None, label: np.ndarray) -> None:
+    def matrix(self, fp: np.ndarray, order: np.ndarray, split: int | None, label: np.ndarray, rows: np.ndarray) -> None:
         """All pairs of rows sorted by ``order``; with ``split`` the pairs across it, both parts being sorted."""
         first, count = fp[:, 0], len(fp)
         base, end = split or 0, split or count
         columns, keys = first[base:], order[base:]
         for i in range(0, end, STRIP):
             strip, o = first[i : min(i + STRIP, end)], order[i : min(i + STRIP, end)]
-            least, most = (o[0] - self.near, o[-1] + self.near) if self.ratio is None else (o[0] * self.ratio, o[-1] / self.ratio)
+            least, most = (o[0] - self.near, o[-1] + self.near) if self.ratio is None else (o[0] * self.ratio - 1e-6, o[-1] / self.ratio + 1e-6)
+            near = self.near if self.ratio is None else self.nears[min(max(int(least), 0), len(self.nears) - 1)]
             low, high = int(np.searchsorted(keys, least)), int(np.searchsorted(keys, most, side="right"))
             if split is None:
                 low = max(low, i)
@@ -161,12 +270,12 @@ class Comparer:
                 at = np.s_[: len(strip), : len(part)]
                 np.bitwise_xor(strip[:, None], part[None, :], out=self.x[at])
                 np.bitwise_count(self.x[at], out=self.n[at])
-                np.less_equal(self.n[at], self.near, out=self.hit[at])
+                np.less_equal(self.n[at], near, out=self.hit[at])
                 if self.hit[at].any():
                     a, b = np.nonzero(self.hit[at])
                     a, b = a + i, b + (j + base)
                     keep = label[a] != label[b]
-                    merge(label, *self.verify(fp, a[keep], b[keep]))
+                    self.link(fp, a[keep], b[keep], label, rows)
 
     def forest(self, unit: np.ndarray, side: np.ndarray, order: np.ndarray, fp: np.ndarray) -> np.ndarray:
         """Each row's root in the links of its unit; rows sorted by unit, side and order."""
@@ -179,29 +288,33 @@ class Comparer:
             at = np.flatnonzero(few & (cross == mixed))
             if len(at) > 1:
                 own = np.arange(len(at))
-                self.shifted(fp[at], unit[at], side[at] if mixed else None, int(sizes[sizes <= SMALL].max()), own)
+                self.shifted(fp[at], unit[at], side[at] if mixed else None, int(sizes[sizes <= SMALL].max()), own, at)
                 label[at] = at[own]
         for start, size in zip(cuts[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             ones = int(side[start : start + size].sum())
             if ones < size:
                 own = np.arange(size)
-                self.matrix(fp[start : start + size], order[start : start + size], size - ones if ones else None, own)
+                self.matrix(fp[start : start + size], order[start : start + size], size - ones if ones else None, own, np.arange(start, start + size))
                 label[start : start + size] = own + start
         return label
 
 
-def compare_units(units: DataFrame, radius: int, near: int, words: int, ratio: float | None = None) -> DataFrame:
+def compare_units(units: DataFrame, radius: int, near: int | np.ndarray, words: int, ratio: float | None = None, two: int | None = None, sets: bool = False) -> DataFrame:
     """(u, v): spanning forests of the links in every unit of work.
 
     ``units`` has bucket and pair (long; together they name a unit), side (int), order (long), node (long), fp (long or bytes).  Rows of
-    side 1 are compared with those of side 0; in a unit with side 0 alone, all with each other.
+    side 1 are compared with those of side 0; in a unit with side 0 alone, all with each other.  With ``sets``, fp goes on with the row's shingles, and links
+    have at least ``ratio`` as their exact Jaccard similarity.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comparer = Comparer(radius, near, ratio)
+        comparer = Comparer(radius, near, ratio, two)
 
         def links(bucket, pair, side, order, node, fp) -> pa.RecordBatch:
             unit = np.concatenate(([0], np.cumsum((bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]))))
+            if sets:
+                comparer.hold([np.frombuffer(x, dtype="<u8", offset=8 * words) for x in fp])
+                fp = np.frombuffer(b"".join(x[: 8 * words] for x in fp), dtype="<u8").reshape(-1, words)
             label = comparer.forest(unit, side, order, fp)
             child = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]])], ["u", "v"])
@@ -211,7 +324,10 @@ def compare_units(units: DataFrame, radius: int, near: int, words: int, ratio: f
             if not batch.num_rows:
                 continue
             fp = batch.column(5)
-            fp = np.asarray(fp).view(np.uint64).reshape(-1, 1) if words == 1 else np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8").reshape(-1, words)
+            if sets:
+                fp = np.array(fp.to_pylist(), dtype=object)
+            else:
+                fp = np.asarray(fp).view(np.uint64).reshape(-1, 1) if words == 1 else np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8").reshape(-1, words)
             new = [np.asarray(batch.column(i)).astype(np.int64) for i in range(5)] + [fp]
             kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
             others = np.flatnonzero((kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1]))
@@ -336,39 +452,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     )
 
 
+def similar_links(nodes: DataFrame, sets_of, similarity: float, words: int) -> DataFrame:
+    """(u, v): a spanning forest of the nodes (node, doc_id, n, fp, digest) whose shingles have at least this Jaccard similarity.
+
+    ``sets_of`` gives (digest, shingles) for nodes; only those with a candidate are asked for.
+    """
+    shares = differing_shares(similarity)
+    radius, near, two = int(bits_within(shares, 64 * words).max()), bits_within(shares, 64), int(bits_within(shares, 128).max())
+    width = -np.log(similarity)
+
+    def classed(df: DataFrame, bucket: Column, fp: Column) -> DataFrame:
+        size = F.log(F.greatest("n", F.lit(1)).cast("double")) / float(width)
+        return df.select(bucket.cast("long").alias("bucket"), F.floor(size).cast("int").alias("class"), F.col("n").alias("order"), "node", fp.alias("fp"))
+
+    # units grow with the square root of the input, so that rows are sent to few of them
+    tile = max(TILE, int(32 * nodes.count() ** 0.5))
+    near_by = compare_units(split_units(classed(nodes, F.lit(0), F.col("fp")), 1, tile), radius, near, words, similarity, two)
+    groups = components(near_by)
+    groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
+    members = materialize(nodes.join(groups, "node"), "candidates")
+    found = materialize(members.join(sets_of(members), "digest").select("root", "node", "n", F.concat("fp", "shingles").alias("fp")), "sets")
+    units = split_units(classed(found, F.col("root"), F.col("fp")), 1, SET_TILE)
+    return compare_units(units, radius, near, words, similarity, two, sets=True)
+
+
 def keep_one_of_each(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, slack: float = 0.02
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8
 ) -> DataFrame:
     """``docs`` without all but one document (the smallest key) of each group of near-duplicates.
 
-    Documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of about ``similarity`` or more: their
-    fingerprints of ``64 * words`` bits differ in at most the share of bits expected at that similarity, arccos(2 s / (1 + s)) / pi, plus
-    ``slack``, and so many shingles are in the smaller set.  All pairs of documents with such numbers of shingles are compared.
+    Documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, counted exactly.
+    Candidates are pairs whose fingerprints of ``64 * words`` bits differ in at most the share of bits expected at that similarity
+    and ``DEVIATIONS`` standard deviations more.  All pairs of documents with such numbers of shingles are compared.
 
     A null or wordless text is a document without shingles, alike to all of that kind.  Rows are kept by key: all rows with a kept key stay, repeated ones
     too, and rows with a null key stay if some group has no other key.  An empty table stays empty; all columns come back as they were.
     """
-    spark = docs.sparkSession
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
-    share64 = share + 4 * (share * (1 - share) / 64) ** 0.5  # in the first word alone: four deviations more
     rows = materialize(wide_fingerprints(docs, key, text, shingle, words), "fingerprints")
-    fps = materialize(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes"
-    )
-    # units grow with the square root of the input, so that rows are sent to few of them
-    tile = max(TILE, int(32 * fps.count() ** 0.5))
-    width = -np.log(similarity)
-    classed = fps.select(
-        F.lit(0).cast("long").alias("bucket"),
-        F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(width)).cast("int").alias("class"),
-        F.col("n").alias("order"),
-        "node",
-        "fp",
+    nodes = materialize(
+        rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()),
+        "nodes",
     )
-    units = split_units(classed, 1, tile)
-    links = compare_units(units, int(share * 64 * words), int(share64 * 64), words, similarity)
-    least = least_reachable(fps.select("node", "doc_id"), links)
-    by_fp = fps.join(least, "node").select("fp", "least")
-    keep = rows.join(by_fp, "fp").where("doc_id <=> least").select("doc_id").distinct()
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        wanted = broadcast_if_small(materialize(members.select(F.col("doc_id").alias("__wanted")).distinct(), "wanted"), 16)
+        some = docs.join(wanted, F.col(key).cast("long").eqNullSafe(F.col("__wanted")), "left_semi")
+        return shingle_sets(some, text, shingle).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+
+    least = least_reachable(nodes.select("node", "doc_id"), similar_links(nodes, sets_of, similarity, words))
+    by_set = nodes.join(least, "node").select("digest", "least")
+    keep = rows.join(by_set, "digest").where("doc_id <=> least").select("doc_id").distinct()
     one = docs.join(keep.withColumnRenamed("doc_id", "__keep"), F.col(key).eqNullSafe(F.col("__keep")), "left_semi")
     return one

@@ -498,6 +498,30 @@ def test_keep_one_of_each(docs, rows, empty):
     assert simhash.keep_one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("tile,small", [(1024, 24), (16, 4)])
+def test_near_copies_are_linked_by_exact_similarity(spark, tile, small, monkeypatch):
+    """Pairs of chosen similarity around 0.8, each in words of its own: linked at 0.8 and above, never below."""
+    monkeypatch.setattr(simhash, "SET_TILE", tile, raising=False)
+    monkeypatch.setattr(simhash, "TILE", 16 * tile)
+    monkeypatch.setattr(simhash, "SMALL", small)
+    texts, gone = [], set()
+    for pair in range(400):
+        n = (8, 60, 200, 401)[pair % 4]
+        first = [f"p{pair}w{i}" for i in range(n + 4)]  # n shingles, the last of which a change of the last words replaces
+        same = n - round(n * (1 - (0.79, 0.8, 0.81, 0.75, 0.7)[pair // 4 % 5]) / (1 + (0.79, 0.8, 0.81, 0.75, 0.7)[pair // 4 % 5]))
+        second = first[: same + 4] + [f"p{pair}x{i}" for i in range(n - same)]
+        if same / (2 * n - same) >= 0.8:
+            gone.add(2 * pair + 1)
+        texts += [(2 * pair, " ".join(first)), (2 * pair + 1, " ".join(second))]
+    # a chain and a large group: each next text drops one shingle in the front and has one more at the end
+    line = [f"c{i}" for i in range(400)]
+    texts += [(1000 + i, " ".join(line[i : i + 104])) for i in range(120)]
+    gone |= set(range(1001, 1120))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()}
+    assert {i for i, _ in texts} - kept == gone
+
+
 # ---- 10 sharding
 
 def test_sharding(docs, rows, empty):
