@@ -5,7 +5,7 @@ Each stage works on all that the one before kept; its result is written as Parqu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lipika.llm import langid, lines, mixing, packing, queries, simhash
 from lipika.llm.common import materialize, table
@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Harmonic packing into sequences of 2048 tokens."""
-    return packing.pack(docs, queries.vocabulary())
+    """Harmonic packing into sequences of 2048 tokens; pieces have their ids."""
+    return packing.pack_pieces(docs, queries.vocabulary()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -11,7 +11,6 @@ capacity, and its last stretch into powers of two, which need no padding.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,20 +23,22 @@ from lipika.llm.common import map_arrow
 
 #: Words, and runs within words, whose ids are remembered in each worker; beyond it the memory starts anew (a speed setting, not a limit).
 MEMO_WORDS = 400_000
+#: Rows of a batch that a worker gives back; a row has at most a sequence's ids.
+OUT_ROWS = 2_000
 
 OUT = pa.schema(
     [
         ("doc_id", pa.int64()),
         ("start", pa.int64()),
         ("length", pa.int64()),
-        ("ids_crc32", pa.int64()),
+        ("ids", pa.binary()),
         ("doc_tokens", pa.int64()),
         ("sequence_id", pa.int64()),
         ("offset", pa.int64()),
         ("sequence_length", pa.int64()),
     ]
 )
-OUT_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+OUT_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 #: What str.split() takes for white space and the tokenizer doesn't.
@@ -143,7 +144,7 @@ class Packer:
         total, offset = sum(p[2] for p in pieces), 0
         length = total if total & (total - 1) == 0 else self.capacity
         for doc_id, start, n, ids, tokens in pieces:
-            self.rows.append((doc_id, start, n, zlib.crc32(ids), tokens, self.next_id, offset, length))
+            self.rows.append((doc_id, start, n, ids, tokens, self.next_id, offset, length))
             offset += n
         self.next_id += 1
 
@@ -171,7 +172,7 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(OUT), OUT.types)], schema=OUT)
 
 
-def pack(
+def pack_pieces(
     docs: DataFrame,
     tokenizer_file: str,
     capacity: int = 2048,
@@ -184,8 +185,8 @@ def pack(
     """Pieces of all documents in sequences of at most ``capacity`` ids.
 
     A document's ids are the tokenizer's without special tokens, then ``end_id``.  Returns for each piece its document's
-    key as ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and
-    ``sequence_length`` (what the sequence is padded to: ``capacity``, or its own length if that is a power of two).
+    key as ``doc_id``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``
+    and ``sequence_length`` (what the sequence is padded to: ``capacity``, or its own length if that is a power of two).
 
     A null or empty text has just ``end_id``; a null key stays null; repeated rows are packed each; a text of any length
     is cut, never shortened; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -201,9 +202,15 @@ def pack(
         for batch in batches:
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 packer.add(doc_id, ids(t.as_py() or "") + end)
-                if len(packer.rows) >= 20_000:
+                if len(packer.rows) >= OUT_ROWS:
                     yield packer.drain()
         packer.finish()
         yield packer.drain()
 
     return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("string")), run, OUT_DDL)
+
+
+def pack(docs: DataFrame, tokenizer_file: str, **settings) -> DataFrame:
+    """``pack_pieces`` with each piece's ``ids_crc32`` in place of its ids."""
+    pieces = pack_pieces(docs, tokenizer_file, **settings)
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")

@@ -16,7 +16,6 @@ its documents' passages arrive, in place of broadcasting the automata:
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ HOT_PASSAGES = 5_000
 BITMAP = (16, 28)
 #: Words remembered in each worker; beyond it the memory starts anew.
 MEMO_WORDS = 300_000
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(GRAM)], dtype=np.uint64)
 
 
@@ -183,11 +183,11 @@ def in_bitmap(bitmap: np.ndarray, shards: np.ndarray) -> np.ndarray:
     return (bitmap[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) != 0
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every row, windows judged on the input.
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, kept, removed) of every row, windows judged on the input.
 
-    Words are runs of anything but ASCII white space, unchanged; ``kept_sha256`` is of the kept words joined by one space, in UTF-8.  A null
-    text has no words; a document with fewer words than a window loses none; rows with equal keys are no earlier than each other;
+    Words are runs of anything but ASCII white space, unchanged; ``kept`` is the kept words joined by one space, ``removed`` the spans of the others:
+    their first word's number from 0 and how many they are, in order.  A null text has no words; a document with fewer words than a window loses none; rows with equal keys are no earlier than each other;
     a row with a null key loses nothing and takes nothing from others; a text of any length is read whole; an empty table
     gives an empty result; other columns are ignored, whatever their names.
     """
@@ -285,30 +285,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, sha = [], [], []
+            n_words, spans, kept = [], [], []
             for t, starts in zip(batch.column(1), batch.column(2)):
                 words = (t.as_py() or b"").split()
-                lost = 0
+                n_words.append(len(words))
+                spans.append([])
                 if starts.is_valid:
                     cover = np.zeros(len(words) + 1, dtype=np.int64)
                     at = np.unique(starts.values.to_numpy(zero_copy_only=False))
                     cover[at] += 1
                     np.add.at(cover, at + WINDOW, -1)
                     gone = np.cumsum(cover[:-1]) > 0
-                    lost = int(gone.sum())
-                    if lost:
-                        n_words.append(len(words))
-                        words = [w for w, g in zip(words, gone.tolist()) if not g]
-                if not lost:
-                    n_words.append(len(words))
-                n_removed.append(lost)
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+                    spans[-1] = [{"start": a, "length": b - a} for a, b in edges.reshape(-1, 2).tolist()]
+                    words = [w for w, g in zip(words, gone.tolist()) if not g]
+                kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, SPANS)], ["doc_id", "n_words", "kept", "removed"]
             )
 
     return (
         rows.join(materialize(spans, "spans"), ["key", "mark"], "left")
         .select("key", "t", "gone")
-        .mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        .mapInArrow(removed, "doc_id long, n_words long, kept binary, removed array<struct<start: long, length: long>>")
+        .withColumn("kept", F.col("kept").cast("string"))
     )
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256): ``cut_repeats`` with the number of removed words and the digest of the kept text, in UTF-8."""
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["length"])
+    return cut_repeats(docs, key, text).select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -32,6 +32,7 @@ PRIOR = 5.0
 CAUTION = 1.5
 #: One text in so many is set apart from the word counts, for the extreme-value law and the logistic weights.
 CALIBRATION = 4
+PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("significance", pa.float64())]))
 #: What each token's score is lowered by.
 DRIFT = 0.7
 #: Words remembered in each worker; beyond it the memory starts anew.
@@ -87,12 +88,18 @@ class Model:
         return [(a, b, self.lam * s - limit) for a, b, s in segments(scores)]
 
     def features(self, text: str) -> tuple[float, float]:
-        found = [x for *_, x in self.passages(text)]
+        return self.features_of(self.passages(text))
+
+    def features_of(self, passages: list[tuple[int, int, float]]) -> tuple[float, float]:
+        found = [x for *_, x in passages]
         best = max(found, default=-10.0)
         return max(best, -10.0), math.log1p(sum(x for x in found if x > 0))
 
     def score(self, text: str) -> float:
-        best, total = self.features(text)
+        return self.score_of(self.passages(text))
+
+    def score_of(self, passages: list[tuple[int, int, float]]) -> float:
+        best, total = self.features_of(passages)
         a, b, c = self.weights
         return 1 / (1 + math.exp(-min(max(a + b * best + c * total, -30.0), 30.0)))
 
@@ -280,9 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 0) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row.
+def score_passages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 0) -> DataFrame:
+    """(doc_id, held_out, score, predicted, passages) of every row.
 
+    ``passages`` are the significant ones in order: first token (white-space separated, from 0), the token after the last, significance in nats.
     A null, empty or wordless text has the score of one without any segment; a null key is not held out; repeated rows are
     scored each; whole texts are scored, of any length; other columns are ignored, whatever their names.
     """
@@ -290,12 +298,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(t.as_py() or "") for t in batch.column(2)]
+            found = [shared.value.passages(t.as_py() or "") for t in batch.column(2)]
+            scores = [shared.value.score_of(x) for x in found]
+            spans = [[{"start": a, "end": b, "significance": x} for a, b, x in passages if x > 0] for passages in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
-                ["doc_id", "held_out", "score", "predicted"],
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, PASSAGES)],
+                ["doc_id", "held_out", "score", "predicted", "passages"],
             )
 
     return docs.select(F.col(key).cast("long"), held_out(F.col(key), folds, fold), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int"
+        run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start: long, end: long, significance: double>>"
     )
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 5, fold: int = 0) -> DataFrame:
+    """``score_passages`` without the passages."""
+    return score_passages(docs, model, key, text, folds, fold).drop("passages")

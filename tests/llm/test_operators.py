@@ -149,6 +149,20 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, file).count() == 0
 
 
+def test_packed_pieces_hold_their_ids(docs, rows):
+    file = queries.vocabulary()
+    tokenizer = packing.word_ids(file).tokenizer
+    whole = defaultdict(dict)
+    for r in packing.pack_pieces(docs, file).collect():
+        assert len(r["ids"]) == 4 * r["length"]
+        if r["doc_id"] not in (None, 3):
+            whole[r["doc_id"]][r["start"]] = bytes(r["ids"])
+    for i, t in dict(rows).items():
+        if i not in (None, 3):
+            ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+            assert np.frombuffer(b"".join(p for _, p in sorted(whole[i].items())), "<u4").tolist() == ids
+
+
 def test_cut_covers_every_length():
     for n in range(1, 5000):
         found = packing.cut(n, 2048, 4, 3)
@@ -355,6 +369,18 @@ def test_toxicity(spark, docs, rows, empty):
     assert {r["predicted"] for r in toxicity.score(docs, untaught).collect()} == {0}
 
 
+def test_significant_passages_are_given(spark, docs):
+    texts = [(i, "vile nasty viler " * 3 + "w1 w2 w3" if i % 3 == 0 else f"w{i % 7} w2 w3 w{i % 5} w1") for i in range(300)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.fit(table, table.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    significant = 0
+    for r in toxicity.score_passages(table, model).collect():
+        text = texts[r["doc_id"]][1]
+        assert [tuple(p) for p in r["passages"]] == [p for p in model.passages(text) if p[2] > 0] and r["score"] == model.score(text)
+        significant += len(r["passages"])
+    assert significant >= 100
+
+
 # ---- 7 language ID
 
 def test_language_id(spark, docs, rows, empty):
@@ -424,6 +450,21 @@ def test_automaton():
             assert firsts == [min(k2 for k2, v in passages if any(v[x : x + 3] == w[j : j + 3] for x in range(len(v) - 2))) for j in range(len(w) - 2)]
 
 
+def test_kept_text_and_removed_spans(docs, rows, empty):
+    got, some = Counter(), 0
+    for r in substrings.cut_repeats(docs).collect():
+        t = dict(rows)[r["doc_id"]] if r["doc_id"] is not None else None
+        gone = [(p["start"], p["length"]) for p in r["removed"]]
+        some += len(gone)
+        if t is not None:
+            w = t.encode().split()
+            assert len(w) == r["n_words"]
+            cover = {i for a, n in gone for i in range(a, a + n)}
+            assert r["kept"].encode() == b" ".join(x for i, x in enumerate(w) if i not in cover) and all(n > 0 for _, n in gone)
+        got[r["doc_id"], r["n_words"], sum(n for _, n in gone), hashlib.sha256(r["kept"].encode()).hexdigest()] += 1
+    assert some and got == brute_repeats(rows)
+
+
 # ---- 9 near duplicates
 
 def brute_fingerprint(t, size=3):
