@@ -30,8 +30,8 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 TURNS = "(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)"
 
 #: (source, target, options) over documents, and over conversations.
-DOCUMENT_DIRECTIONS = [("itrans", t, 0) for t in ("devanagari", "telugu", "bengali", "gujarati", "malayalam", "iso", "iast", "ipa", "thai")] + [("itrans", "kannada", O.ASCII_NUMERALS)]
-TURN_DIRECTIONS = [("iast", "devanagari", 0), ("wx", "devanagari", 0), ("titus", "devanagari", 0), ("itrans", "burmese", 0), ("itrans", "gurmukhi", O.IGNORE_ACCENTS), ("iso", "sinhala", O.RETAIN_MARKERS), ("iso", "readableLatin", 0)]
+DOCUMENT_DIRECTIONS = [("itrans", t, 0) for t in ("devanagari", "telugu", "bengali", "gujarati", "malayalam", "iso", "iast", "ipa", "thai")] + [("itrans", "kannada", O.ASCII_NUMERALS), ("iast", "devanagari", 0)]
+TURN_DIRECTIONS = [("wx", "devanagari", 0), ("titus", "devanagari", 0), ("itrans", "burmese", 0), ("itrans", "gurmukhi", O.IGNORE_ACCENTS), ("iso", "sinhala", O.RETAIN_MARKERS), ("iso", "readableLatin", 0)]
 
 
 def directed(spark: SparkSession, sf_dir: str, source: str, target: str, mask: int, turns: bool) -> DataFrame:

@@ -115,6 +115,18 @@ def test_queries_match_their_sql(spark, tmp_path):
             assert rows == sorted(str([r[i] for i in order]) for r in found.fetchall()), name
 
 
+def test_iast_is_read_from_documents(spark, tmp_path):
+    """Whole documents, very long ones and upper case too, against the kernel and SQL."""
+    texts = [None, "", "Kṛṣṇa ĀTMĀ aï", "<b>ka</b> ##ka## kaṃ 12", "namaste JAGAT! " * 300]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = queries.pairs()["translit_iast_devanagari"]
+    got = {r["doc_id"]: r["out"] for r in query(spark, str(tmp_path)).collect()}
+    assert got == {i: K.transliterate(t, "iast", "devanagari") for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.execute(sql).fetchall()) == got
+
+
 def test_sql_form_of_every_indic_target():
     con = duckdb.connect()
     con.execute("CREATE TABLE t AS SELECT 1 AS k, 'namaste paMktI ~Na 12' AS x")
