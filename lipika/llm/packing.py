@@ -61,20 +61,22 @@ class WordIds:
 
     The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are those of its
     white-space separated words in order.  Plain words are cut into runs of letters, digits and the rest as it does, and
-    only the runs go through its BPE model; all other words go through the whole tokenizer.
+    only the runs go through its BPE model; all other words, and those with an added token's string, go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] for t in self.added):
+            raise ValueError("an added token has white space, over which ids are not those of single words")
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def learn(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
+        if not PLAIN.fullmatch(word) or any(t in word for t in self.added):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         out = []
         for piece in PIECE.findall(word.lower()):

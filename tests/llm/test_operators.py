@@ -170,6 +170,14 @@ def test_cut_covers_every_length():
         assert all(k * size <= 2048 for k, size in found)
 
 
+def test_added_tokens_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    ids, plain = packing.WordIds(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
+    for t in ("<|endoftext|>", "a b<|endoftext|>c <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >", "é<|endoftext|>'s\x1c<|startoftext|>"):
+        assert np.frombuffer(ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_words_have_the_tokenizers_ids():
     ids, rnd = packing.WordIds(queries.vocabulary()), random.Random(1)
     for _ in range(2000):
