@@ -79,7 +79,7 @@ def dedup_page_lines(pages: DataFrame, ratio: float = 0.1, least_pages: int = 3,
     )
 
 
-def drop_boilerplate_lines(docs: DataFrame, ratio: float = 0.05, least_pages: int = 10, text: str = "text", host: str = "source", n_chars: str = "n_chars") -> DataFrame:
+def drop_boilerplate_lines(docs: DataFrame, ratio: float = 0.05, least_pages: int = 3, text: str = "text", host: str = "source", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with their texts' boilerplate lines dropped (lines between line feeds, compared without outer white space).
 
     Blank lines stay.  All rows and columns come back; ``n_chars``, if there is one, is the new length.  A null text stays null;

@@ -215,6 +215,12 @@ def test_document_lines(spark, docs, rows):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
+def test_license_line_of_a_small_source_goes(spark):
+    df = spark.createDataFrame([(i, f"license\nown {i}", "s") for i in range(9)] + [(9, "license\nx", "t"), (10, "license\ny", "t")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate_lines(df).collect()}
+    assert got == {i: f"own {i}" for i in range(9)} | {9: "license\nx", 10: "license\ny"}
+
+
 # ---- 4 fingerprints
 
 def test_fingerprints(docs, rows, empty):
