@@ -100,12 +100,15 @@ def held_out(key: Column, folds: int = 3, fold: int = 1) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, fold: int = 1) -> Model:
     """A model from at most about ``SAMPLE_DOCUMENTS`` documents of each language outside the held-out fold.
 
-    Rows with a null key, text or language teach nothing.  Without any, every document is undetermined.
+    Rows with a null key, text or language teach nothing.  Without any, every document is undetermined.  More than
+    ``MODEL_LANGUAGES`` languages are an error: none is left out.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(
         F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("k"), folds, fold)
     )
-    sizes = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(MODEL_LANGUAGES).collect()
+    sizes = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(MODEL_LANGUAGES + 1).collect()
+    if len(sizes) > MODEL_LANGUAGES:
+        raise ValueError(f"more than {MODEL_LANGUAGES} languages")
     if not sizes:
         return Model([], {}, {}, np.zeros((0, 0)))
     languages = sorted(r["l"] for r in sizes)

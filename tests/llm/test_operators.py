@@ -421,6 +421,15 @@ def test_language_id(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_too_many_languages_are_told(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a b c", f"l{i % 3}") for i in range(60)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MODEL_LANGUAGES", 3)
+    assert langid.fit(df).languages == ["l0", "l1", "l2"]
+    monkeypatch.setattr(langid, "MODEL_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(df)
+
+
 def test_unseen_words_back_off_to_shorter_grams():
     model = langid.Model(["a", "b"], {}, {" ab": 0, "c": 1}, np.array([[0.0, -5.0], [-3.0, 0.0]]))
     assert model.predict("ab")[0] == "a" and model.predict("xcx")[0] == "b"
