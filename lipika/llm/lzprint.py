@@ -128,8 +128,8 @@ def fingerprint(text: str) -> str:
 class Document:
     """A parsed text, from which the parse of an edited text goes on where both still agree."""
 
-    def __init__(self, doc_id: int | None, text: str):
-        self.doc_id, self.text, self.seen, self.ends = doc_id, text, set(), []
+    def __init__(self, text: str):
+        self.text, self.seen, self.ends = text, set(), []
         self.again = parse(text, 0, self.seen, self.ends)
         self.hashes = hashes(text, 0, self.ends)
         self.signature = signature(self.hashes)
@@ -168,12 +168,12 @@ OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def _row(doc: Document, following: Document | None) -> tuple:
+    """A result row without its key."""
     if following is None:
-        return doc.doc_id, len(doc.text), None, as_text(doc.signature), None, None, None
+        return len(doc.text), None, as_text(doc.signature), None, None, None
     near_next = likeness(doc.signature, following.signature)
     text, sig = doc.edited(following.text)
     return (
-        doc.doc_id,
         len(doc.text),
         hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(),
         as_text(doc.signature),
@@ -183,22 +183,38 @@ def _row(doc: Document, following: Document | None) -> tuple:
     )
 
 
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that none follows."""
+    for batch in batches:
+        rows = [(k, *_row(Document(t.as_py() or ""), None)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), OUT.types)], schema=OUT)
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (guard, key, text); a guard row is only the follower of the last own row."""
-    before: Document | None = None
+    """Rows in order of (guard, key, text); a guard row is only the follower of the last own row.
+
+    Equal texts that follow each other are worked out once.
+    """
+    key, before, twins = None, None, None
     rows: list[tuple] = []
     guarded = False
     for batch in batches:
         for doc_id, text, guard in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             if guard and (guarded or before is None):
                 continue
-            doc = Document(doc_id, text.as_py() or "")
-            if doc_id is None:
-                rows.append(_row(doc, None))
-                continue
-            if before is not None:
-                rows.append(_row(before, doc))
-            before, guarded = (None, True) if guard else (doc, False)
+            text = text.as_py() or ""
+            if before is not None and text == before.text:
+                twins = twins or _row(Document(text), before)
+                rows.append((key, *twins))
+            else:
+                doc = Document(text)
+                if before is not None:
+                    rows.append((key, *_row(before, doc)))
+                before, twins = doc, None
+            key, guarded = doc_id, guard
+            if guard:
+                before = None
             if len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), OUT.types)], schema=OUT)
                 rows = []
@@ -206,43 +222,60 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), OUT.types)], schema=OUT)
 
 
+def cuts(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Where up to ``n`` ranges of (k, beginning) with about equally many rows start, all but the first.
+
+    Quantiles of the keys; a key that several of them fall on is cut by quantiles of its texts' beginnings.  Two small rows of numbers for each range
+    come to the driver.
+    """
+    shares = [i / n for i in range(1, n)]
+    if not shares:
+        return []
+    found = rows.agg(F.percentile_approx("k", shares, 100 * n).alias("q")).first()["q"] or []
+    out = {(k, -1) for k in found}
+    repeats = {k: found.count(k) for k in set(found)}
+    if hot := [k for k, m in repeats.items() if m > 1]:
+        within = rows.where(F.col("k").isin(hot)).groupBy("k").agg(F.percentile_approx("beginning", shares, 100 * n).alias("q"))
+        for r in within.collect():
+            m = repeats[r["k"]]
+            out |= {(r["k"], r["q"][len(r["q"]) * j // (m + 1)]) for j in range(1, m + 1)} | ({(r["k"] + 1, -1)} if r["k"] < (1 << 63) - 1 else set())
+    return sorted(out)
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, guard) partitioned by ranges of the key and sorted, each range followed by the first row of the next.
+    """(k, t, guard) of the rows with a key, partitioned by ranges of (key, text) and sorted, each range followed by the first row of the next.
 
-    Ranges are runs of equally wide cells of the key with about equally many rows; only the cells' counts, sixteen for
-    each partition whatever the input, come to the driver.  The last range is followed by the first.
+    Ranges have about equally many rows wherever the keys lie (``cuts``), and a key that many rows have spans several.  The last range is followed by the first.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    n = partitions(spark)
-    low, high = rows.agg(F.min("k"), F.max("k")).first()
-    if low is None:
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # the first seven bytes as a number, in the order of the texts
+    beginning = F.conv(F.rpad(F.hex(F.substring(whole.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = docs.select(F.col(key).cast("long").alias("k"), whole.alias("t"), beginning.alias("beginning")).where("k IS NOT NULL")
+    starts = cuts(rows, partitions(spark))
+    at = F.struct("k", "beginning")
+    part = F.lit(0)
+    if starts:
+        marks = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(b).cast("long").alias("beginning")) for k, b in starts])
+        part = F.size(F.filter(marks, lambda c: c <= at))
+    rows = rows.withColumn("p", part)
+    first = {r["p"]: r["k"] for r in rows.groupBy("p").agg(F.min("k").alias("k")).collect()}
+    if not first:
         return rows.select("k", "t", F.lit(False).alias("guard"))
-    width = max(1, -(-(high - low + 1) // (16 * n)))
-    cell = F.expr(f"CAST((k - {low}L) DIV {width}L AS INT)")
-    found = sorted(rows.where("k IS NOT NULL").groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("k").alias("k")).collect())
-    total, done = sum(r["n"] for r in found), 0
-    part_of, first = [0] * (found[-1]["c"] + 1), {}
-    for r in found:
-        part = len(first) if not first else max(first) + (done * n // total > max(first))
-        part = 0 if not first else part
-        first.setdefault(part, r["k"])
-        part_of[r["c"]] = part
-        done += r["n"]
-    last = max(first)
-    own = F.when(F.col("k").isNull(), F.pmod(F.xxhash64("t"), F.lit(last + 1)).cast("int")).otherwise(
-        F.element_at(F.lit(part_of), cell + 1)
-    )
-    starts = F.element_at(F.lit([first[p] for p in range(last + 1)]), F.col("p") + 1)
-    places = F.when(
-        F.col("k") == starts,
-        F.array(F.struct(F.col("p"), F.lit(False).alias("guard")), F.struct(F.pmod(F.col("p") - 1, F.lit(last + 1)).cast("int").alias("p"), F.lit(True).alias("guard"))),
-    ).otherwise(F.array(F.struct(F.col("p"), F.lit(False).alias("guard"))))
+    # of a key that starts several ranges, only the rows with the range's least beginning are handed on
+    shared = {k for k, b in starts if b >= 0}
+    least = {(r["p"], r["k"]): r["b"] for r in rows.where(F.col("k").isin(list(shared))).groupBy("p", "k").agg(F.min("beginning").alias("b")).collect()} if shared else {}
+    order = sorted(first)
+    before = dict(zip(order, [order[-1], *order]))
+    table = [(first[p], least.get((p, first[p]), -1), before[p]) if p in first else (None, -1, None) for p in range(order[-1] + 1)]
+    own = F.element_at(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(b).cast("long").alias("b"), F.lit(q).cast("int").alias("q")) for k, b, q in table]), F.col("p") + 1)
+    stay = F.struct(F.col("p"), F.lit(False).alias("guard"))
+    handed = (F.col("k") == own["k"]) & ((own["b"] < 0) | (F.col("beginning") == own["b"]))
+    places = F.when(handed, F.array(stay, F.struct(own["q"].alias("p"), F.lit(True).alias("guard")))).otherwise(F.array(stay))
     return (
-        rows.withColumn("p", own)
-        .select("k", "t", F.explode(places).alias("to"))
+        rows.select("k", "t", F.explode(places).alias("to"))
         .select("k", "t", F.col("to.guard").alias("guard"), F.col("to.p").alias("p"))
-        .repartitionById(last + 1, "p")
+        .repartitionById(order[-1] + 1, "p")
         .sortWithinPartitions("guard", "k", "t")
         .select("k", "t", "guard")
     )
@@ -259,4 +292,5 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     columns); rows with equal keys follow each other in order of their texts; an empty table gives an empty result;
     other columns are ignored, whatever their names.  A text of any length is parsed whole, and hashed in blocks.
     """
-    return with_next(docs, key, text).mapInArrow(_run, OUT_DDL)
+    alone = docs.where(F.col(key).cast("long").isNull()).select(F.col(key).cast("long"), F.col(text).cast("string"))
+    return with_next(docs, key, text).mapInArrow(_run, OUT_DDL).union(alone.mapInArrow(_alone, OUT_DDL))
