@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lipika.llm import langid, lines, mixing, packing, queries, simhash
-from lipika.llm.common import materialize, table
+from lipika.llm.common import materialize, small_batches, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents whose language cannot be told go."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
@@ -23,6 +24,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup over five-word shingles, at a similarity of 0.8: one document of each group stays."""
+    small_batches(spark)
     return simhash.keep_one_of_each(docs)
 
 
@@ -33,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Harmonic packing into sequences of 2048 tokens; pieces have their ids."""
+    small_batches(spark)
     return packing.pack_pieces(docs, queries.vocabulary()).withColumn("ids_crc32", F.crc32("ids"))
 
 

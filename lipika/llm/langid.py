@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lipika.llm.common import map_arrow, materialize
+from lipika.llm.common import materialize
 
 #: Documents that the model is fitted on, for each language, at most about (a hash of key and text picks them).
 SAMPLE_DOCUMENTS = 4_000
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             )
 
     counts = materialize(
-        map_arrow(chosen.select("t", "l"), counted, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words"
+        chosen.select("t", "l").mapInArrow(counted, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words"
     )
     column = {l: i for i, l in enumerate(languages)}
     words: dict[str, np.ndarray] = {}
@@ -184,7 +184,7 @@ def _predicted(rows: DataFrame, model: Model, ddl: str) -> DataFrame:
                 [*batch.columns[:n], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names
             )
 
-    return map_arrow(rows, run, f"{ddl}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -200,4 +200,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", te
             found = (shared.value.predict(t.as_py() or "") for t in batch.column(text))
             yield batch.filter(pa.array([l != UNDETERMINED and s >= least for l, s in found], pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -52,7 +52,7 @@ def mark_boilerplate(df: DataFrame, host: Column, lines: Column, ratio: float, l
     hashes = F.array_distinct(F.transform(F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != ""), lambda x: F.xxhash64(F.btrim(x, F.lit(SPACE)))))
     found = boilerplate(df.select(host.alias("host"), hashes.alias("hashes")), ratio, least_pages)
     found = found.select(F.col("host").alias("__host"), F.col("boiler").alias("__boiler"))
-    return df.join(broadcast_if_small(found, 4096), host.eqNullSafe(F.col("__host")), "left").drop("__host")
+    return df.join(broadcast_if_small(found), host.eqNullSafe(F.col("__host")), "left").drop("__host")
 
 
 def _kept(lines: Column) -> Column:

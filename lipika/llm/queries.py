@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lipika.llm import langid, lines, lzprint, media, mixing, packing, sharding, simhash, substrings, toxicity
-from lipika.llm.common import new_dir, table
+from lipika.llm.common import new_dir, small_batches, table
 
 #: Name of the vocabulary file; the folder is the installed package's.
 VOCABULARY = "word_bpe_49k.json"
@@ -21,12 +21,12 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "media")
-    media.write_archives(table(spark, sf_dir, "documents"), path)
+    media.write_archives(table(small_batches(spark), sf_dir, "documents"), path)
     return media.media_features(media.read_archives(spark, path))
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(table(small_batches(spark), sf_dir, "documents"), vocabulary())
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lzprint.fingerprints(table(spark, sf_dir, "documents"))
+    return lzprint.fingerprints(table(small_batches(spark), sf_dir, "documents"))
 
 
 def source_domain() -> Column:
@@ -59,29 +59,29 @@ MIX_SEED = 20_240_607
 
 
 def op5_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), MIX, source_domain(), 0.75, 4, MIX_SEED)
+    return mixing.mix(table(small_batches(spark), sf_dir, "documents"), MIX, source_domain(), 0.75, 4, MIX_SEED)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(small_batches(spark), sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(small_batches(spark), sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return substrings.remove_repeats(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(small_batches(spark), sf_dir, "documents"))
 
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
+    return sharding.assign_shards(table(small_batches(spark), sf_dir, "documents"), 40)
 
 
 QUERIES = (

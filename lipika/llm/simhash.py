@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lipika.llm.common import broadcast_if_small, map_arrow, materialize, partitions
+from lipika.llm.common import broadcast_if_small, materialize, partitions
 
 SEED = 42
 #: Rows of a tile; a pair of tiles is one unit of work.
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                     out[i] = simhash(np.array(found, dtype=np.uint64))[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return map_arrow(docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")), run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
 def shingle_set(raw: bytes, size: int) -> tuple[np.ndarray, bytes]:
@@ -116,7 +116,7 @@ def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text",
             )
 
     columns = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary"))
-    return map_arrow(columns, run, "doc_id long, fp binary, n long, digest binary")
+    return columns.mapInArrow(run, "doc_id long, fp binary, n long, digest binary")
 
 
 def shingle_sets(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
@@ -128,7 +128,7 @@ def shingle_sets(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataF
             sets = [values.astype("<u8").tobytes() for values, _ in found]
             yield pa.RecordBatch.from_arrays([pa.array([d for _, d in found], pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    return map_arrow(docs.select(F.col(text).cast("string").cast("binary")), run, "digest binary, shingles binary")
+    return docs.select(F.col(text).cast("string").cast("binary")).mapInArrow(run, "digest binary, shingles binary")
 
 
 def differing_shares(similarity: float) -> np.ndarray:
@@ -380,7 +380,7 @@ def split_units(rows: DataFrame, reach: int, tile: int) -> DataFrame:
     )
     whole = F.array(F.struct(F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("side")))
     return (
-        rows.join(broadcast_if_small(large, 1024), "bucket", "left")
+        rows.join(broadcast_if_small(large), "bucket", "left")
         .withColumn("to", F.explode(F.when(F.col("classes").isNull(), whole).otherwise(pairs)))
         .select("bucket", F.col("to.pair").alias("pair"), F.col("to.side").alias("side"), "order", "node", "fp")
     )
@@ -495,7 +495,7 @@ def keep_one_of_each(
     )
 
     def sets_of(members: DataFrame) -> DataFrame:
-        wanted = broadcast_if_small(materialize(members.select(F.col("doc_id").alias("__wanted")).distinct(), "wanted"), 16)
+        wanted = broadcast_if_small(materialize(members.select(F.col("doc_id").alias("__wanted")).distinct(), "wanted"))
         some = docs.join(wanted, F.col(key).cast("long").eqNullSafe(F.col("__wanted")), "left_semi")
         return shingle_sets(some, text, shingle).groupBy("digest").agg(F.first("shingles").alias("shingles"))
 

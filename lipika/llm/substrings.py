@@ -222,7 +222,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = materialize(keyed.mapInArrow(passages, "shard long, key long, mark long, at long, words binary"), "passages")
     distinct = materialize(found.groupBy("shard", "words").agg(F.min("key").alias("key"), F.max("key").alias("last")), "distinct")
     hot = materialize(distinct.groupBy("shard").count().where(F.col("count") > HOT_PASSAGES).select("shard"), "hot")
-    hot = broadcast_if_small(hot, 16)
+    hot = broadcast_if_small(hot)
 
     def cut(df: DataFrame) -> DataFrame:
         """The windows of hot shards' passages, ``at`` moved on; shard: the window's own hash."""
