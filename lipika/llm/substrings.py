@@ -10,7 +10,7 @@ its documents' passages arrive, in place of broadcasting the automata:
 2. Runs of windows with the same shard become passages.  Equal passages are one, with its smallest key.
 3. Each shard streams its passages in order of key through a suffix automaton of those before: where the longest match has
    ``WINDOW`` words, the automaton's state has the first key of that window; what is new is added.  Passages of a shard with over
-   ``HOT_PASSAGES`` are cut into single windows, dealt by their own hash.
+   ``HOT_WORDS`` words are cut into single windows, dealt by their own hash.
 4. First keys go back to the passages' documents, and covered words are removed.
 """
 
@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from lipika.llm.common import broadcast_if_small, materialize, partitions
 
 WINDOW, GRAM = 13, 5
-HOT_PASSAGES = 5_000
+#: Words of a shard's distinct passages, from which they are dealt as single windows.
+HOT_WORDS = 100_000
 #: Bits of the bitmap, as a power of two: at least, and at most (32 MB).
 BITMAP = (16, 28)
 #: Words remembered in each worker; beyond it the memory starts anew.
@@ -195,6 +196,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), raw.cast("binary").alias("t"), F.xxhash64(raw).alias("mark"))
     keyed = rows.where("key IS NOT NULL")
+    once = not keyed.groupBy("key").count().where("count > 1").limit(1).count()
 
     shared = materialize(
         keyed.select("key", "t").mapInArrow(_reached, "shard long, key long").groupBy("shard").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("shard"),
@@ -221,7 +223,9 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     found = materialize(keyed.mapInArrow(passages, "shard long, key long, mark long, at long, words binary"), "passages")
     distinct = materialize(found.groupBy("shard", "words").agg(F.min("key").alias("key"), F.max("key").alias("last")), "distinct")
-    hot = materialize(distinct.groupBy("shard").count().where(F.col("count") > HOT_PASSAGES).select("shard"), "hot")
+    # a shard is held in one list: passages count by their words
+    held = F.sum(F.size(F.split(F.col("words").cast("string"), " ")))
+    hot = materialize(distinct.groupBy("shard").agg(held.alias("n")).where(F.col("n") > HOT_WORDS).select("shard"), "hot")
     hot = broadcast_if_small(hot)
 
     def cut(df: DataFrame) -> DataFrame:
@@ -267,10 +271,12 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .select(*marks, "firsts")
     )
     firsts = materialize(firsts, "firsts")
+    # rows with equal key and text have the same places
+    places = found if once else found.dropDuplicates(["key", "mark", "at"])
     places = (
-        found.join(hot, "shard", "left_anti")
+        places.join(hot, "shard", "left_anti")
         .select("key", "mark", "at", *marks)
-        .union(cut(found).select("key", "mark", (F.col("at") + F.col("__p.i")).alias("at"), *marks))
+        .union(cut(places).select("key", "mark", (F.col("at") + F.col("__p.i")).alias("at"), *marks))
     )
     gone = F.filter(
         F.transform("firsts", lambda f, i: F.when(f < F.col("key"), (F.col("at") + i).cast("int"))), lambda x: x.isNotNull()
