@@ -1,12 +1,12 @@
 """Near-duplicate detection with SimHash: exact comparison in tiles with numpy's exclusive-or and bit counts.
 
 A document's fingerprint has a bit set where over half of its shingles' hashes have it.  Two layouts bring fingerprints
-that can be linked into the same tile, and lose none:
+that can be linked into the same tile:
 
 * ``block_rows`` for small radii: fingerprints at ``radius`` or fewer differing bits agree in one of ``radius + 1`` blocks of bits, so
   rows are dealt by (block, its bits);
-* ``class_rows`` for wide radii: documents are put into classes of their number of shingles such that similar ones are in the same or in
-  neighbouring classes.
+* ``similar_links`` for wide radii: documents are dealt by the least of their shingles' hashes under each of ``PROBES`` orders, which two
+  documents have in common with a chance of their similarity each time, and large groups by their number of shingles.
 
 Groups over ``TILE`` rows are split into tiles by class (for blocks: the population count) and hash; a pair of tiles is made
 only if their classes are near enough (population counts within the radius), and each pair is a task's unit of work
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lipika.llm.common import broadcast_if_small, materialize, partitions
+from lipika.llm.common import broadcast_if_small, free_name, materialize, partitions
 
 SEED = 42
 #: Rows of a tile; a pair of tiles is one unit of work.
@@ -38,8 +38,10 @@ SMALL = 24
 STRIP, SPAN = 16, 4096
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 15
-#: Rows of a tile where rows carry their shingles' hashes.
-SET_TILE = 1024
+#: Rows of a tile of wide fingerprints, and of one where rows carry their shingles' hashes.
+WIDE_TILE, SET_TILE = 4096, 1024
+#: Orders under which documents' least shingles are compared: of links at similarity s a share of (1 - s) ** PROBES is lost, one in 10 ** 7 at 0.8.
+PROBES = 10
 #: Standard deviations that candidates' differing bits may lie above the number expected at the similarity asked for.
 DEVIATIONS = 5
 #: Common shingles up to which the expected share of differing bits is counted out; it falls to its limit from above.
@@ -94,6 +96,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
+def least_hashes(values: np.ndarray) -> np.ndarray:
+    """The least hash under each of ``PROBES`` orders (multiplications by odd numbers, modulo 2 ** 64)."""
+    out = np.zeros(PROBES, dtype=np.uint64)
+    for i in range(PROBES if len(values) else 0):
+        factor = pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)
+        out[i] = (values * np.uint64(factor)).min()
+    return out
+
+
 def shingle_set(raw: bytes, size: int) -> tuple[np.ndarray, bytes]:
     """The distinct shingles' hashes in order, and their digest."""
     values = np.unique(np.array(shingle_hashes(raw, size), dtype=np.uint64))
@@ -101,22 +112,23 @@ def shingle_set(raw: bytes, size: int) -> tuple[np.ndarray, bytes]:
 
 
 def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 8) -> DataFrame:
-    """(doc_id, fp, n, digest): ``64 * words``-bit fingerprint over the distinct shingles, as bytes, how many they are, and the set's digest."""
+    """(doc_id, fp, n, digest, probes): ``64 * words``-bit fingerprint over the distinct shingles, as bytes, how many they are, the set's digest,
+    and its ``least_hashes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, digests = [], [], []
+            fps, sizes, digests, least = [], [], [], []
             for raw in batch.column(1):
                 values, digest = shingle_set(raw.as_py() or b"", shingle)
                 fps.append(simhash(values, words).astype("<u8").tobytes())
                 sizes.append(len(values))
                 digests.append(digest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "fp", "n", "digest"]
-            )
+                least.append(least_hashes(values).view(np.int64))
+            columns = [pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "digest", "probes"])
 
     columns = docs.select(F.col(key).cast("long"), F.col(text).cast("string").cast("binary"))
-    return columns.mapInArrow(run, "doc_id long, fp binary, n long, digest binary")
+    return columns.mapInArrow(run, "doc_id long, fp binary, n long, digest binary, probes array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
@@ -338,8 +350,9 @@ def compare_units(units: DataFrame, radius: int, near: int | np.ndarray, words:
         if kept is not None:
             yield links(*kept)
 
+    # units with sets are few and heavy: more partitions than usual, so that few meet in one
     return (
-        units.repartition(partitions(units.sparkSession), "bucket", "pair")
+        units.repartition(partitions(units.sparkSession) * (4 if sets else 1), "bucket", "pair")
         .sortWithinPartitions("bucket", "pair", "side", "order")
         .select("bucket", "pair", "side", "order", "node", "fp")
         .mapInArrow(run, "u long, v long")
@@ -453,7 +466,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def similar_links(nodes: DataFrame, sets_of, similarity: float, words: int) -> DataFrame:
-    """(u, v): a spanning forest of the nodes (node, doc_id, n, fp, digest) whose shingles have at least this Jaccard similarity.
+    """(u, v): a spanning forest of the nodes (node, doc_id, n, fp, digest, probes) whose shingles have at least this Jaccard similarity.
 
     ``sets_of`` gives (digest, shingles) for nodes; only those with a candidate are asked for.
     """
@@ -465,9 +478,9 @@ def similar_links(nodes: DataFrame, sets_of, similarity: float, words: int) -> D
         size = F.log(F.greatest("n", F.lit(1)).cast("double")) / float(width)
         return df.select(bucket.cast("long").alias("bucket"), F.floor(size).cast("int").alias("class"), F.col("n").alias("order"), "node", fp.alias("fp"))
 
-    # units grow with the square root of the input, so that rows are sent to few of them
-    tile = max(TILE, int(32 * nodes.count() ** 0.5))
-    near_by = compare_units(split_units(classed(nodes, F.lit(0), F.col("fp")), 1, tile), radius, near, words, similarity, two)
+    probes = F.posexplode("probes").alias("probe", "value")
+    dealt = nodes.where("n > 0").select("node", "n", "fp", probes)
+    near_by = compare_units(split_units(classed(dealt, F.xxhash64("probe", "value"), F.col("fp")), 1, WIDE_TILE), radius, near, words, similarity, two)
     groups = components(near_by)
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     members = materialize(nodes.join(groups, "node"), "candidates")
@@ -483,24 +496,24 @@ def keep_one_of_each(
 
     Documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, counted exactly.
     Candidates are pairs whose fingerprints of ``64 * words`` bits differ in at most the share of bits expected at that similarity
-    and ``DEVIATIONS`` standard deviations more.  All pairs of documents with such numbers of shingles are compared.
+    and ``DEVIATIONS`` standard deviations more, of documents that have one of ``PROBES`` least shingles in common.
 
     A null or wordless text is a document without shingles, alike to all of that kind.  Rows are kept by key: all rows with a kept key stay, repeated ones
     too, and rows with a null key stay if some group has no other key.  An empty table stays empty; all columns come back as they were.
     """
     rows = materialize(wide_fingerprints(docs, key, text, shingle, words), "fingerprints")
     nodes = materialize(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()),
+        rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("fp").alias("fp"), F.first("probes").alias("probes")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
 
     def sets_of(members: DataFrame) -> DataFrame:
-        wanted = broadcast_if_small(materialize(members.select(F.col("doc_id").alias("__wanted")).distinct(), "wanted"))
-        some = docs.join(wanted, F.col(key).cast("long").eqNullSafe(F.col("__wanted")), "left_semi")
-        return shingle_sets(some, text, shingle).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+        wanted = broadcast_if_small(materialize(members.select("doc_id").distinct(), "wanted"))
+        some = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(wanted, F.col("k").eqNullSafe(F.col("doc_id")), "left_semi")
+        return shingle_sets(some, "t", shingle).groupBy("digest").agg(F.first("shingles").alias("shingles"))
 
     least = least_reachable(nodes.select("node", "doc_id"), similar_links(nodes, sets_of, similarity, words))
-    by_set = nodes.join(least, "node").select("digest", "least")
-    keep = rows.join(by_set, "digest").where("doc_id <=> least").select("doc_id").distinct()
-    one = docs.join(keep.withColumnRenamed("doc_id", "__keep"), F.col(key).eqNullSafe(F.col("__keep")), "left_semi")
-    return one
+    by_set = nodes.select("node", "digest").join(least, "node").select("digest", "least")
+    keep = rows.select("doc_id", "digest").join(by_set, "digest").where("doc_id <=> least").select("doc_id").distinct()
+    kept = free_name(docs, "kept")
+    return docs.join(keep.withColumnRenamed("doc_id", kept), F.col(key).cast("long").eqNullSafe(F.col(kept)), "left_semi")

@@ -206,6 +206,19 @@ def test_page_lines(spark):
     assert lines.dedup_page_lines(page_table(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_of_a_page_count_each_unless_distinct(spark):
+    copies = [(i, "http://a.org", "<p>copy of it</p>", "x", "y") for i in range(5)] + [(5 + i, "http://a.org", f"<p>own {i}</p>", "x", "y") for i in range(5)]
+    dropped = lambda **k: {r["page_id"] for r in lines.dedup_page_lines(page_table(spark, copies), **k).collect() if r["n_dropped"]}
+    assert dropped() == set(range(5)) and dropped(distinct=True) == set() and dropped(ratio=0.5) == set()
+
+
+def test_no_column_name_is_taken(spark):
+    names = ["boiler", "of_host", "kept", "host", "lines", "page", "fp", "least", "node", "digest", "k", "domain", "tokens", "rank"]
+    df = spark.createDataFrame([(i, f"common\nown {i} a b c d e f", "en", f"src{i % 2}", 9, *["z"] * len(names)) for i in range(12)], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for out in (lines.drop_boilerplate_lines(df), simhash.keep_one_of_each(df), langid.keep_identified(df), mixing.keep_mixed(df, queries.MIX, queries.source_domain(), 1.0, 1)):
+        assert out.columns == df.columns and out.select("boiler", "kept", "domain").distinct().collect() == [("z", "z", "z")]
+
+
 def test_document_lines(spark, docs, rows):
     data = [(i, f"common\n\nown {i}\n  common ", "s") for i in range(30)] + [(30, None, "s"), (31, "common", None), (32, "common\nlast", "t")]
     df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
@@ -618,14 +631,21 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT_PASSAGES, 1])
+@pytest.mark.parametrize("hot", [substrings.HOT_WORDS, 1])
 def test_substrings(docs, rows, empty, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_PASSAGES", hot)
+    monkeypatch.setattr(substrings, "HOT_WORDS", hot)
     got = substrings.remove_repeats(docs)
     assert gathered(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_many_repeated_rows(spark):
+    text = " ".join(f"r{i}" for i in range(40))
+    df = spark.range(100_000).select((F.col("id") % 2).alias("doc_id"), F.lit(text).alias("text"))
+    got = gathered(substrings.remove_repeats(df), "doc_id", "n_words", "n_removed")
+    assert got == {(0, 40, 0): 50_000, (1, 40, 40): 50_000}
+
+
 def test_automaton():
     rnd = random.Random(17)
     for _ in range(200):
@@ -728,7 +748,7 @@ def test_keep_one_of_each(docs, rows, empty):
 def test_near_copies_are_linked_by_exact_similarity(spark, tile, small, monkeypatch):
     """Pairs of chosen similarity around 0.8, each in words of its own: linked at 0.8 and above, never below."""
     monkeypatch.setattr(simhash, "SET_TILE", tile, raising=False)
-    monkeypatch.setattr(simhash, "TILE", 16 * tile)
+    monkeypatch.setattr(simhash, "WIDE_TILE", 16 * tile)
     monkeypatch.setattr(simhash, "SMALL", small)
     texts, gone = [], set()
     for pair in range(400):
