@@ -261,3 +261,9 @@ def find(name: str) -> Script | None:
 def supported_names() -> list[str]:
     """All names that can be a source or target: scripts, aliases and the source ``indic``."""
     return sorted({*scripts(), *(a for s in scripts().values() for a in s.aliases), "indic"})
+
+
+def parse_name(text: str) -> str | None:
+    """The name a script is registered under, from any case of it, also as ``Script.name``; None if there is none.  Aliases and ``indic`` are names too."""
+    wanted = text.strip().rsplit(".", 1)[-1].lower()
+    return next((n for n in supported_names() if n.lower() == wanted), None)

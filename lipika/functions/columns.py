@@ -38,16 +38,22 @@ def _column(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
-def transliterate(text: Column | str, source: str, target: str, options: int | str = 0, mode: str = "strict") -> Column:
+MODES = {"strict": kernel.transliterate, "lenient": kernel.lenient, "empty": kernel.empty}
+
+
+def transliterate(text: Column | str, source: str, target: str, options: int | str = 0, mode: str = "strict", force_indic: bool = False) -> Column:
     """The text in another script.
 
     ``strict``: null for a null text, an unknown or write-only source, an unknown target, and where both names are the same.  ``lenient``: such
-    text comes back as it is, and ``readableLatin`` and ``wx`` cannot be read.  Text of any length is written whole.
+    text comes back as it is, and ``readableLatin`` and ``wx`` cannot be read.  ``empty``: empty where ``strict`` is null for another reason than a null text.
+    With ``force_indic`` every source that is not Latin is read as the mixed ``indic``.  Text of any length is written whole.
     """
+    if force_indic:
+        source = kernel.mixed(source)
     mask = _mask(options)
     if mode == "strict" and not kernel.Transliterator(source, target, mask).known:
         return F.lit(None).cast("string")
-    one = kernel.transliterate if mode == "strict" else kernel.lenient
+    one = MODES[mode]
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
@@ -102,8 +108,70 @@ def units(text: Column | str, source: str, options: int | str = 0) -> Column:
     return run(_column(text).cast("string"))
 
 
+def token_counts(text: Column | str, source: str, options: int | str = 0) -> Column:
+    """(class, idx, n): how often each phoneme occurs; null for a null text or an unknown source.  Words are counted once and remembered."""
+    mask = _mask(options)
+    if kernel.reader(source) is None:
+        return F.lit(None).cast("array<struct<class:string,idx:int,n:bigint>>")
+
+    @F.arrow_udf("array<struct<class:string,idx:int,n:bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else [(A.CLASSES[c], i, n) for (c, i), n in kernel.counter(source, mask).tokens(t).items()] for t in texts.to_pylist()]
+        return _lists(rows, [("class", pa.string()), ("idx", pa.int32()), ("n", pa.int64())])
+
+    return run(_column(text).cast("string"))
+
+
+def unit_counts(text: Column | str, source: str, options: int | str = 0) -> Column:
+    """(n_units, n_mute, n_signs): written units, those with a mute consonant and those with a sign; null for a null text or an unknown source."""
+    mask = _mask(options)
+    kind = "struct<n_units:bigint,n_mute:bigint,n_signs:bigint>"
+    if kernel.reader(source) is None:
+        return F.lit(None).cast(kind)
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else kernel.counter(source, mask).units(t) for t in texts.to_pylist()]
+        columns = [pa.array([None if r is None else r[i] for r in rows], pa.int64()) for i in range(3)]
+        return pa.StructArray.from_arrays(columns, names=["n_units", "n_mute", "n_signs"], mask=pa.array([r is None for r in rows]))
+
+    return run(_column(text).cast("string"))
+
+
 # ---- built-in functions only
 
+def chars(text: Column | str) -> Column:
+    """The text's code points, as an array of one-character strings."""
+    return F.filter(F.split(_column(text), ""), lambda c: c != "")
+
+
+def char_count(text: Column | str) -> Column:
+    return F.length(_column(text))
+
+
+def byte_count(text: Column | str) -> Column:
+    """Bytes in UTF-8."""
+    return F.octet_length(_column(text))
+
+
+def first_char(text: Column | str) -> Column:
+    return F.left(_column(text), F.lit(1))
+
+
+def last_char(text: Column | str) -> Column:
+    return F.right(_column(text), F.lit(1))
+
+
+def char_at(text: Column | str, at: int) -> Column:
+    """The code point at a place from 0; empty beyond the end."""
+    return F.substring(_column(text), at + 1, 1)
+
+
+def code_points(text: Column | str) -> Column:
+    """The numbers of the text's code points."""
+    return F.transform(chars(text), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+
+
 #: Verbatim markup, closed or not; verbatim text between ``##``, closed or not; any other character.
 SKIP = r"(?s)<[^>]*>|##(?:[^#]|#[^#])*##|<.*|##.*|[^<#]+|."
 
@@ -152,10 +220,27 @@ def resolve_script(name: Column | str) -> Column:
     return F.try_element_at(known, F.lower(_column(name)))
 
 
-def option_mask(text: Column | str) -> Column:
-    """The mask of option names written with delimiters (``options.parse``, strict)."""
-    pieces = split_delimiters(text)
-    known = F.create_map(*[F.lit(x) for k, v in O.NAMES.items() for x in (k, v)], F.lit(""), F.lit(32))
+def parse_script(name: Column | str) -> Column:
+    """The registered name of a script, alias or ``indic`` written in any case, also as ``Script.name``; null if there is none."""
+    known = F.create_map(*[F.lit(x) for n in A.supported_names() for x in (n.lower(), n)])
+    return F.try_element_at(known, F.element_at(F.split(F.lower(F.btrim(_column(name))), r"\."), -1))
+
+
+def option_names(mask: Column | str) -> Column:
+    """Lower-case names of a mask's options, ``none`` if it has none."""
+    found = F.array_compact(F.array(*[F.when(_column(mask).bitwiseAND(v) != 0, k.lower()) for k, v in O.NAMES.items() if v]))
+    return F.when(_column(mask).isNotNull(), F.when(F.size(found) == 0, F.array(F.lit("none"))).otherwise(found))
+
+
+def option_mask(text: Column | str, dialect: str = "strict") -> Column:
+    """The mask of option names (``options.parse``): ``strict`` names split at a set of delimiters, ``loose`` ones without regard to case at white
+    space and commas, ``plain`` ones at single spaces."""
+    names = {k.lower(): v for k, v in O.NAMES.items()} if dialect == "loose" else O.NAMES
+    known = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)], *([F.lit(""), F.lit(32)] if dialect == "strict" else []))
+    if dialect == "strict":
+        pieces = split_delimiters(text)
+    else:
+        pieces = F.split(F.lower(_column(text)), r"[\s,]+") if dialect == "loose" else F.split(_column(text), " ")
     return F.aggregate(pieces, F.lit(0), lambda a, p: a.bitwiseOR(F.coalesce(F.try_element_at(known, p), F.lit(0))))
 
 
@@ -168,7 +253,7 @@ def split_delimiters(text: Column | str, delimiters: str = O.DELIMITERS) -> Colu
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions ``transliterate(text, source, target, options)``, ``transliterate_lenient`` and the table function ``translit_tokens(text, source)``."""
+    """SQL functions ``transliterate(text, source, target, options)``, ``transliterate_lenient``, ``transliterate_or_empty``, ``translit_options_strict`` (``_loose``, ``_plain``) and the table function ``translit_tokens(text, source)``."""
 
     def scalar(one):
         @F.arrow_udf("string")
@@ -180,6 +265,17 @@ def register(spark: SparkSession) -> None:
 
     spark.udf.register("transliterate", scalar(kernel.transliterate))
     spark.udf.register("transliterate_lenient", scalar(kernel.lenient))
+    spark.udf.register("transliterate_or_empty", scalar(kernel.empty))
+
+    def parsed(dialect: str):
+        @F.arrow_udf("int")
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else O.parse(t, dialect) for t in texts.to_pylist()], pa.int32())
+
+        return run
+
+    for dialect in ("strict", "loose", "plain"):
+        spark.udf.register(f"translit_options_{dialect}", parsed(dialect))
 
     class Tokens:
         def eval(self, text: str, source: str):

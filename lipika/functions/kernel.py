@@ -6,6 +6,7 @@ empty slot; verbatim text is a string in either stream.  Tables are compiled onc
 
 from __future__ import annotations
 
+import collections
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -180,10 +181,13 @@ def raised(text: str) -> int | None:
     return None
 
 
-def units(tokens: list[Token | str], mask: int = 0) -> Iterator[Unit | str]:
-    """Written units of a token stream; an empty verbatim text ends it."""
+def units(tokens: list[Token | str], mask: int = 0, carry: list[Unit] | None = None) -> Iterator[Unit | str]:
+    """Written units of a token stream; an empty verbatim text ends it.
+
+    ``carry`` has the last unit of the word before, and then of this one: it is all that Tamil words hand on to the next over verbatim text.
+    """
     at, n = 0, len(tokens)
-    word_start, last, prefix = True, IGNORED, None
+    word_start, last, prefix = True, carry[0] if carry else IGNORED, None
     while at < n:
         token = tokens[at]
         at += 1
@@ -260,6 +264,8 @@ def units(tokens: list[Token | str], mask: int = 0) -> Iterator[Unit | str]:
         word_start = cls == A.SYMBOL
         last = IGNORED if word_start else unit
         yield unit
+    if carry:
+        carry[0] = last
 
 
 def allophone(unit: Unit, written: int, last: Unit, first: bool, ends: bool) -> Unit:
@@ -387,38 +393,111 @@ def writer(name: str, mask: int) -> Writer | None:
 
 
 class Transliterator:
-    """One direction with its options.  Words are remembered where they don't depend on each other."""
+    """One direction with its options.
+
+    Words are remembered: apart from verbatim parts and small digits, over which Tamil looks ahead, they don't depend on each other, but for a Tamil
+    word that starts with ச, whose sound depends on the unit before it.
+    """
 
     def __init__(self, source: str, target: str, mask: int = 0):
         self.mask = mask
         self.reader = reader(source) if source != target else None
         self.writer = writer(target, mask) if self.reader else None
         self.known = self.writer is not None
-        self.by_word = self.known and A.TAMIL not in (self.reader.kind, self.writer.kind) and source != "indic"
-        self.memo: dict[str, str] = {}
+        self.tamil = self.known and self.reader.kind == A.TAMIL
+        self.by_word = self.known and source != "indic"
+        self.odd = "<#\0" + (A.SUPERSCRIPTS + A.SUBSCRIPTS if self.known and A.TAMIL in (self.reader.kind, self.writer.kind) else "")
+        self.memo: dict[str | tuple[str, Unit], str] = {}
+        self.last: dict[str, Unit] = {}
 
     def whole(self, text: str) -> str:
         return self.writer.write(units(self.reader.tokens(text, self.mask), self.mask))
 
+    def word(self, word: str, carry: list[Unit]) -> str:
+        """A word after the unit in ``carry``, which becomes its last one."""
+        key = (word, carry[0]) if word.startswith("ச") else word
+        if (found := self.memo.get(key)) is None:
+            found = self.memo[key] = self.writer.write(units(self.reader.tokens(word, self.mask), self.mask, carry))
+            self.last[key] = carry[0]
+            if key is word:  # a word without units hands on what it got
+                after = [IGNORED]
+                self.writer.write(units(self.reader.tokens(word, self.mask), self.mask, after))
+                if after[0] == IGNORED and carry[0] != IGNORED:
+                    self.last[key] = None
+        carry[0] = self.last[key] or carry[0]
+        return found
+
     def __call__(self, text: str | None) -> str | None:
         """The text in the target script; None for None and where the direction is unknown."""
         if text is None or not self.known:
             return None
-        if not self.by_word or "<" in text or "#" in text or "\0" in text:
+        if not self.by_word or any(c in text for c in self.odd):
             return self.whole(text)
         memo, words = self.memo, re.split("([ \t\r\n]+)", text)
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+            self.last.clear()
+        if self.tamil:
+            carry = [IGNORED]
+            return "".join([self.word(word, carry) for word in words])
         try:
             return "".join(map(memo.__getitem__, words))
         except KeyError:
             pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
         for word in words:
             if word not in memo:
                 memo[word] = self.whole(word)
         return "".join(map(memo.__getitem__, words))
 
 
+class Counter:
+    """Counts of a source's tokens and units; words are remembered where they don't depend on each other."""
+
+    def __init__(self, source: str, mask: int = 0):
+        self.mask, self.reader = mask, reader(source)
+        self.by_word = self.reader is not None and self.reader.kind != A.TAMIL and source != "indic"
+        self.memo: dict[str, tuple[dict[tuple[int, int], int], tuple[int, int, int]]] = {}
+
+    def whole(self, text: str) -> tuple[dict[tuple[int, int], int], tuple[int, int, int]]:
+        found = self.reader.tokens(text, self.mask)
+        tokens: dict[tuple[int, int], int] = {}
+        for token in found:
+            if not isinstance(token, str):
+                tokens[token[:2]] = tokens.get(token[:2], 0) + 1
+        written = [u for u in units(found, self.mask) if not isinstance(u, str) and u[1] >= 0]
+        return tokens, (len(written), sum(u[3] == 0 for u in written), sum(u[4] >= 0 for u in written))
+
+    def words(self, text: str) -> list[tuple[int, dict[tuple[int, int], int], tuple[int, int, int]]]:
+        """(how often, token counts, unit counts) of the text's words, or of the text."""
+        if not self.by_word or "<" in text or "#" in text or "\0" in text:
+            return [(1, *self.whole(text))]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        out = []
+        for word, n in collections.Counter(re.split("[ \t\r\n]+", text)).items():
+            if (found := self.memo.get(word)) is None:
+                found = self.memo[word] = self.whole(word)
+            out.append((n, *found))
+        return out
+
+    def tokens(self, text: str) -> dict[tuple[int, int], int]:
+        out: dict[tuple[int, int], int] = {}
+        for n, found, _ in self.words(text):
+            for token, m in found.items():
+                out[token] = out.get(token, 0) + n * m
+        return out
+
+    def units(self, text: str) -> tuple[int, int, int]:
+        """How many units, mute consonants and signs."""
+        found = [(n * a, n * b, n * c) for n, _, (a, b, c) in self.words(text)]
+        return tuple(map(sum, zip(*found))) if found else (0, 0, 0)
+
+
+@lru_cache(maxsize=64)
+def counter(source: str, mask: int = 0) -> Counter:
+    return Counter(source, mask)
+
+
 @lru_cache(maxsize=64)
 def transliterator(source: str, target: str, mask: int = 0) -> Transliterator:
     return Transliterator(source, target, mask)
@@ -428,6 +507,17 @@ def transliterate(text: str | None, source: str, target: str, mask: int = 0) ->
     return transliterator(source, target, mask)(text)
 
 
+def empty(text: str | None, source: str, target: str, mask: int = 0) -> str | None:
+    """As ``transliterate``, but an empty text where a direction is unknown."""
+    return None if text is None else transliterate(text, source, target, mask) or ""
+
+
+def mixed(source: str) -> str:
+    """``indic`` for every source that is not Latin: its reader knows all of their alphabets."""
+    script = A.find(source)
+    return "indic" if script and script.kind != A.LATIN else source
+
+
 def lenient(text: str | None, source: str, target: str, mask: int = 0) -> str | None:
     """As ``transliterate``, but text comes back as it is where it is empty, the scripts are equal, or a direction is not offered."""
     s, t = (A.find(x) for x in (source, target))

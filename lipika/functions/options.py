@@ -46,3 +46,11 @@ def parse(text: str, dialect: str = "strict") -> int:
 def names(mask: int) -> list[str]:
     """Lower-case names of the mask's options."""
     return [k.lower() for k, v in NAMES.items() if v and mask & v] or ["none"]
+
+
+def add(*masks: int) -> int:
+    """One mask with the options of all."""
+    out = NONE
+    for mask in masks:
+        out |= mask
+    return out

@@ -31,11 +31,31 @@ def tokens(relation: str, key: str, text: str, source: str, mask: int = 0) -> st
     return f"""
 (WITH cut AS ({cut}),
 known(spelling, sub, cls, idx) AS ({known}),
-found AS (SELECT {key}, place * 8 + coalesce(sub, 0) AS pos, coalesce(k.cls, -1) AS cls, k.idx,
+found AS (SELECT {key}, place * 8 + coalesce(sub, 0) AS pos, coalesce(k.cls, -1) AS cls, k.idx, length(piece) = 1 AS one,
   CASE WHEN k.cls IS NULL THEN CASE WHEN piece LIKE '##%##' AND length(piece) > 3 THEN substr({spelled}, 3, length(piece) - 4) ELSE {spelled} END END AS lit
   FROM cut LEFT JOIN known k ON piece = spelling
   WHERE (k.cls IS NOT NULL OR piece LIKE '<%>' OR piece LIKE '##%##' AND length(piece) > 3 OR NOT (starts_with(piece, '<') OR starts_with(piece, '##'))) {no_accent})
-SELECT {key}, pos, cls, idx, lit FROM found)"""
+SELECT {key}, pos, cls, idx, lit, one FROM found)"""
+
+
+def token_count(relation: str, key: str, text: str, source: str) -> str:
+    """A query for (key, n_all, n_accents): tokens, of which a run of single verbatim characters is one (``#`` starts a new one), and accents among them."""
+    return f"""
+(SELECT {key}, count(*) FILTER (cls >= 0 OR NOT one OR lit = '#' OR before IS NULL OR before) AS n_all, count(*) FILTER (cls = {A.ACCENT}) AS n_accents
+FROM (SELECT *, lag(cls >= 0 OR NOT one) OVER (PARTITION BY {key} ORDER BY pos) AS before FROM {tokens(relation, key, text, source)}) GROUP BY {key})"""
+
+
+def doubled(found: str, key: str, source: str) -> str:
+    """Tokens with the sign that doubles the next consonant spelled out: that consonant (not aspirated) and a mute mark; dropped before anything else."""
+    if kernel.reader(source).kind != A.INDIC:
+        return found
+    sign = f"cls = {A.EXCLUSIVE} AND idx = {A.ADHAK}"
+    return f"""
+(WITH a AS (SELECT *, lead(cls) OVER w AS cls_, lead(idx) OVER w AS idx_ FROM {found} WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+b AS (SELECT *, {sign} AS sign FROM a)
+SELECT {key}, pos * 2 AS pos, CASE WHEN sign AND cls_ = {A.CONSONANT} THEN cls_ WHEN sign THEN {A.EXCLUSIVE} ELSE cls END AS cls,
+  CASE WHEN sign AND cls_ = {A.CONSONANT} THEN idx_ - CASE WHEN idx_ < 24 THEN idx_ % 5 % 2 ELSE 0 END WHEN sign THEN {A.SKIP} ELSE idx END AS idx, lit, one FROM b
+UNION ALL SELECT {key}, pos * 2 + 1, {A.MARK}, 0, NULL, false FROM b WHERE sign AND cls_ = {A.CONSONANT})"""
 
 
 def units(relation: str, key: str, text: str, source: str, mask: int = 0) -> str:
@@ -50,7 +70,7 @@ def units(relation: str, key: str, text: str, source: str, mask: int = 0) -> str
         joins = f"grp > 0 AND NOT lead_row AND (head = {A.CONSONANT} OR head = {A.VOWEL} AND n = 0)"
         mark = "coalesce(m, -1)"
     return f"""
-(WITH t0 AS (SELECT * FROM {tokens(relation, key, text, source, mask)}),
+(WITH t0 AS (SELECT * FROM {doubled(tokens(relation, key, text, source, mask), key, source)}),
 t AS (SELECT {key}, pos, cls, idx, lit FROM (SELECT *, min(CASE WHEN lit = '' THEN pos END) OVER (PARTITION BY {key}) AS stop FROM t0) WHERE stop IS NULL OR pos < stop),
 g AS (SELECT *, sum(CASE WHEN cls IN ({", ".join(map(str, joining))}) THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY pos) AS grp FROM t),
 h AS (SELECT *, first_value(cls) OVER w AS head, row_number() OVER w = 1 AS lead_row, sum(CASE WHEN cls = {counted} THEN 1 ELSE 0 END) OVER w AS n

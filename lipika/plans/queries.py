@@ -81,8 +81,8 @@ SELECT {key}, kind, count(*) AS n, CAST(sum(CASE WHEN kind = 'verbatim' THEN len
 
 
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select(F.explode(C.tokens("text", "itrans")).alias("t")).where("t.class <> 'literal'")
-    return found.groupBy(F.col("t.class").alias("class"), F.col("t.idx").alias("idx")).agg(F.count("*").alias("n"))
+    found = table(spark, sf_dir, "documents").select(F.explode(C.token_counts("text", "itrans")).alias("t"))
+    return found.groupBy(F.col("t.class").alias("class"), F.col("t.idx").alias("idx")).agg(F.sum("t.n").alias("n"))
 
 
 def classes_sql(column: str) -> str:
@@ -90,10 +90,7 @@ def classes_sql(column: str) -> str:
 
 
 def units_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.filter(C.units("text", "itrans"), lambda u: ~u["class"].isin("literal", "ignored")).alias("u"))
-    return found.select(
-        "doc_id", F.size("u").cast("long").alias("n_units"), F.size(F.filter("u", lambda u: u["mark"] == 0)).cast("long").alias("n_mute"), F.size(F.filter("u", lambda u: u["sign"].isNotNull())).cast("long").alias("n_signs")
-    )
+    return table(spark, sf_dir, "documents").select("doc_id", C.unit_counts("text", "itrans").alias("u")).select("doc_id", "u.n_units", "u.n_mute", "u.n_signs")
 
 
 def relational_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,27 +103,108 @@ def relational_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strippers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = C.transliterate("text", "itrans", "telugu", O.RETAIN_MARKERS)
-    there = conversations(spark, sf_dir).select("turn_id", text.alias("t"))
-    return there.select("turn_id", C.strip_markers("t").alias("stripped"), C.ascii_numerals("t").alias("numerals"), C.drop_accents("t").alias("plain"))
+    there = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return there.select("doc_id", C.strip_markers("t").alias("stripped"), C.ascii_numerals("t").alias("numerals"), C.drop_accents("t").alias("plain"))
 
 
 def strippers_sql() -> str:
     digits = {d: str(i) for s in A.scripts().values() if s.kind != A.LATIN for i, d in enumerate(s.glyphs[A.SYMBOL][:10])}
     q = oracle.quote
-    return f"""SELECT turn_id, translate(out, {q(A.MARKERS)}, '') AS stripped, translate(out, {q("".join(digits))}, {q("".join(digits.values()))}) AS numerals,
-translate(out, {q("".join(A.VEDIC_ACCENTS + A.LATIN_ACCENTS))}, '') AS plain FROM {oracle.transliterate(TURNS, "turn_id", "text", "itrans", "telugu", O.RETAIN_MARKERS)}"""
+    return f"""SELECT doc_id, translate(out, {q(A.MARKERS)}, '') AS stripped, translate(out, {q("".join(digits))}, {q("".join(digits.values()))}) AS numerals,
+translate(out, {q("".join(A.VEDIC_ACCENTS + A.LATIN_ACCENTS))}, '') AS plain FROM {oracle.transliterate("documents", "doc_id", "text", "itrans", "telugu", O.RETAIN_MARKERS)}"""
 
 
 def accent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accents dropped at the source: tokens with and without the option."""
-    count = lambda mask: F.size(F.filter(C.tokens("text", "iso", mask), lambda t: t["class"] != "literal")).cast("long")
-    return conversations(spark, sf_dir).select("turn_id", count(0).alias("n_all"), count(O.IGNORE_ACCENTS).alias("n_kept"))
+    """Accents dropped at the source: all tokens and verbatim parts, with and without the option."""
+    count = lambda mask: F.size(C.tokens("text", "iso", mask)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", count(0).alias("n_all"), count(O.IGNORE_ACCENTS).alias("n_kept"))
 
 
 NAMES = ["Devanagari", "HINDI", "bangla", "odia", "Indic", "iast", "readablelatin", "klingon", "TamilExtended", "", "punjabi", "sanskrit"]
 OPTION_TEXTS = ["None", "TamilTraditional", "TamilTraditional TamilSuperscripted", "ASCIINumerals,IgnoreVedicAccents", "asciinumerals", "RetainSpecialMarkers;ASCIINumerals", "A||B", "", "TamilTraditional "]
 
 
+LOOSE_TEXTS = ["tamiltraditional, ASCIINUMERALS", "IgnoreVedicAccents\tRetainSpecialMarkers", "none", "", "Nothing,at  all", "TamilTraditional TamilTraditional"]
+SCRIPT_TEXTS = ["Script.devanagari", "script.TAMILEXTENDED", " iast ", "Hindi", "Script.indic", "Script.", "Script.klingon", "readableLatin", "a.b.wx", ""]
+
+
+def texts(spark: SparkSession, sf_dir: str, rows: list[str]) -> DataFrame:
+    return table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*map(F.lit, rows))).alias("written"))
+
+
+def option_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options as each dialect reads them, and the names of the mask."""
+    df = texts(spark, sf_dir, LOOSE_TEXTS + OPTION_TEXTS)
+    masks = df.select("r_regionkey", "written", C.option_mask("written", "loose").alias("loose"), C.option_mask("written", "plain").alias("plain"))
+    return masks.select("*", F.array_join(C.option_names("loose"), " ").alias("names"))
+
+
+def option_dialects_sql() -> str:
+    q, known = oracle.quote, oracle.values([(k, v) for k, v in O.NAMES.items()])
+    bits = " ".join(f"WHEN {v} THEN {q(k.lower())}" for k, v in O.NAMES.items() if v)
+    return f"""WITH n(written) AS ({oracle.values([(x,) for x in dict.fromkeys(LOOSE_TEXTS + OPTION_TEXTS)])}), k(name, bit) AS ({known}),
+l AS (SELECT written, CAST(bit_or(coalesce(bit, 0)) AS INTEGER) AS loose FROM (SELECT written, unnest(regexp_split_to_array(lower(written), '[\\s,]+')) AS p FROM n) LEFT JOIN k ON lower(name) = p GROUP BY written),
+p AS (SELECT written, CAST(bit_or(coalesce(bit, 0)) AS INTEGER) AS plain FROM (SELECT written, unnest(string_split(written, ' ')) AS p FROM n) LEFT JOIN k ON name = p GROUP BY written)
+SELECT r_regionkey, m.written, loose, plain, CASE WHEN loose = 0 THEN 'none' ELSE array_to_string(list_transform(list_filter([1, 2, 4, 8, 16], lambda b: loose & b <> 0), lambda b: CASE b {bits} END), ' ') END AS names
+FROM region CROSS JOIN (SELECT unnest([{", ".join(q(x) for x in LOOSE_TEXTS + OPTION_TEXTS)}]) AS written) m JOIN l ON l.written = m.written JOIN p ON p.written = m.written"""
+
+
+def script_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir, SCRIPT_TEXTS).withColumn("script", C.parse_script("written"))
+
+
+def script_parse_sql() -> str:
+    known = oracle.values([(n.lower(), n) for n in A.supported_names()])
+    return f"""WITH n(written) AS ({oracle.values([(x,) for x in SCRIPT_TEXTS])}), k(low, script) AS ({known})
+SELECT r_regionkey, written, script FROM region CROSS JOIN n LEFT JOIN k ON low = lower(string_split(trim(written), '.')[-1])"""
+
+
+def empty_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure gives an empty text, a write-only source is one, and a forced mixed source reads any alphabet."""
+    df = conversations(spark, sf_dir).select("turn_id", "text", C.transliterate("text", "itrans", "telugu").alias("telugu"))
+    return df.select(
+        "turn_id",
+        C.transliterate("text", "itrans", "devanagari", 0, "empty").alias("out"),
+        C.transliterate("text", "nowhere", "iso", 0, "empty").alias("unknown"),
+        C.transliterate("text", "readablelatin", "iso", 0, "empty").alias("unreadable"),
+        C.transliterate("text", "readablelatin", "iso").alias("strict"),
+        C.transliterate("telugu", "devanagari", "iso", force_indic=True).alias("forced"),
+    )
+
+
+def empty_mode_sql() -> str:
+    there = oracle.transliterate(TURNS, "turn_id", "text", "itrans", "telugu")
+    forced = oracle.transliterate(f"(SELECT turn_id, out AS telugu FROM {there})", "turn_id", "telugu", "indic", "iso")
+    return f"""SELECT turn_id, a.out, '' AS unknown, '' AS unreadable, CAST(NULL AS VARCHAR) AS strict, b.out AS forced
+FROM {oracle.transliterate(TURNS, "turn_id", "text", "itrans", "devanagari")} a JOIN {forced} b USING (turn_id)"""
+
+
+def characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    at = F.slice(C.code_points(F.left("text", F.lit(50))), 1, 50)
+    return df.select(
+        "doc_id", C.char_count("text").cast("long").alias("n_chars_"), C.byte_count("text").cast("long").alias("n_bytes"), C.first_char("text").alias("first"), C.last_char("text").alias("last"),
+        C.char_at("text", 7).alias("eighth"), F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum50"), F.size(C.chars("text")).cast("long").alias("n_split"),
+    )
+
+
+CHARACTERS_SQL = """SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars_, CAST(strlen(text) AS BIGINT) AS n_bytes, left(text, 1) AS first, right(text, 1) AS last, substr(text, 8, 1) AS eighth,
+CAST(coalesce(list_sum(list_transform(regexp_extract_all(left(text, 50), '(?s).'), lambda c: unicode(c))), 0) AS BIGINT) AS sum50, CAST(len(regexp_extract_all(text, '(?s).')) AS BIGINT) AS n_split FROM documents"""
+
+
+def adhak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gurmukhi with doubled consonants written by their sign, read back."""
+    there = conversations(spark, sf_dir).select("turn_id", C.transliterate("text", "itrans", "gurmukhi").alias("t"))
+    signed = there.select("turn_id", F.regexp_replace("t", "([ਕਗਤਦਪਬਮਨਲਰਸਟ])", "ੱ$1").alias("signed"))
+    return signed.select("turn_id", "signed", C.transliterate("signed", "gurmukhi", "devanagari").alias("out"))
+
+
+def adhak_sql() -> str:
+    there = oracle.transliterate(TURNS, "turn_id", "text", "itrans", "gurmukhi")
+    signed = f"(SELECT turn_id, regexp_replace(out, '([ਕਗਤਦਪਬਮਨਲਰਸਟ])', 'ੱ\\1', 'g') AS signed FROM {there})"
+    return f"SELECT s.turn_id, signed, o.out FROM {signed} s JOIN {oracle.transliterate(signed, 'turn_id', 'signed', 'gurmukhi', 'devanagari')} o USING (turn_id)"
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*map(F.lit, NAMES))).alias("name"))
     return df.select("r_regionkey", "name", C.is_script_supported("name").alias("supported"), C.resolve_script("name").alias("script"))
@@ -218,7 +296,11 @@ def by_nation_sql() -> str:
 
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as a stream, transliterated and written until none is left, read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lipika-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lipika-stream-")
     out = f"{base}/lipika/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet" if _is_folder(spark, f"{sf_dir}/documents.parquet") else f"{sf_dir}/documents.parque[t]")
@@ -271,8 +353,6 @@ def pairs() -> dict[str, tuple[Query, str | None]]:
     again = lambda target: oracle.transliterate(f"(SELECT turn_id, out AS deva FROM {deva})", "turn_id", "deva", "devanagari", target)
     tokens = oracle.tokens("documents", "doc_id", "text", "itrans")
     counted = oracle.units("documents", "doc_id", "text", "itrans")
-    both = [oracle.tokens(TURNS, "turn_id", "text", "iso", m) for m in (0, O.IGNORE_ACCENTS)]
-    runs = lambda t: f"(SELECT turn_id, count(*) FILTER (cls >= 0) AS n FROM {t} GROUP BY turn_id)"
     return out | {
         "translit_by_lang": (by_lang, f"SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS chars_in, CAST(sum(length(out)) AS BIGINT) AS chars_out FROM documents JOIN {docs} USING (doc_id) GROUP BY lang"),
         "roundtrip_itrans_devanagari": (roundtrip, f"SELECT a.turn_id, a.out AS deva, b.out AS back FROM {deva} a JOIN {again('itrans')} b USING (turn_id)"),
@@ -287,7 +367,7 @@ def pairs() -> dict[str, tuple[Query, str | None]]:
         ),
         "relational_itrans_devanagari": (relational_units, f"SELECT * FROM {deva}"),
         "strip_markers_numerals_accents": (strippers, strippers_sql()),
-        "accent_filter": (accent_filter, f"SELECT turn_id, coalesce(a.n, 0) AS n_all, coalesce(b.n, 0) AS n_kept FROM {TURNS} LEFT JOIN {runs(both[0])} a USING (turn_id) LEFT JOIN {runs(both[1])} b USING (turn_id)"),
+        "accent_filter": (accent_filter, f"SELECT doc_id, coalesce(n_all, 0) AS n_all, coalesce(n_all - n_accents, 0) AS n_kept FROM documents LEFT JOIN {oracle.token_count('documents', 'doc_id', 'text', 'iso')} USING (doc_id)"),
         "script_names": (names, names_sql()),
         "script_catalog": (script_catalog, script_catalog_sql()),
         "option_masks": (option_masks, option_masks_sql()),
@@ -297,6 +377,11 @@ def pairs() -> dict[str, tuple[Query, str | None]]:
         "translit_join_labels": (join_labels, f"SELECT lang, quality, count(*) AS n, CAST(sum(length(out)) AS BIGINT) AS chars FROM documents JOIN {docs} USING (doc_id) JOIN labels USING (doc_id) GROUP BY lang, quality"),
         "translit_by_nation": (by_nation, by_nation_sql()),
         "stream_translit_documents": (stream_documents, f"SELECT * FROM {docs}"),
+        "option_dialects": (option_dialects, option_dialects_sql()),
+        "script_parse": (script_parse, script_parse_sql()),
+        "empty_mode_force_indic": (empty_mode, empty_mode_sql()),
+        "characters": (characters, CHARACTERS_SQL),
+        "gurmukhi_adhak": (adhak, adhak_sql()),
         "lenient_mode": (lenient, lenient_sql()),
         "sql_functions": (sql_functions, sql_functions_sql()),
     }

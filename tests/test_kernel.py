@@ -118,3 +118,36 @@ def test_options():
     assert O.parse("ASCIINumerals Unknown", "plain") == 4
     assert O.names(12) == ["asciinumerals", "ignorevedicaccents"] and O.names(0) == ["none"]
     assert O.split_set("a, b;") == ["a", "", "b"]
+
+
+def soup(rnd, alphabet, n):
+    glyphs = [g for row in A.find(alphabet).glyphs for g in row if g]
+    return "".join(rnd.choice([*glyphs, *glyphs, " ", " ", "\n", ", ", "x", "²"] if rnd.random() < 0.1 else [*glyphs, " "]) for _ in range(n))
+
+
+@pytest.mark.parametrize("source,target", [("itrans", "tamil"), ("tamil", "readablelatin"), ("tamil", "devanagari"), ("devanagari", "tamil"), ("tamil", "iso"), ("iso", "telugu")])
+@pytest.mark.parametrize("mask", [0, O.TAMIL_TRADITIONAL, O.TAMIL_SUPERSCRIPTED, O.TAMIL_TRADITIONAL | O.TAMIL_SUPERSCRIPTED])
+def test_remembered_words_are_the_whole_text(source, target, mask):
+    rnd = random.Random(31)
+    one = K.Transliterator(source, target, mask)
+    for _ in range(150):
+        text = soup(rnd, source, rnd.randrange(60))
+        if source == "tamil":  # words that start with the letter whose sound depends on the word before
+            text = " ".join(rnd.choice(["ச", "சி", "ச்", ""]) + w for w in text.split(" "))
+        assert one(text) == one.whole(text), text
+
+
+@pytest.mark.parametrize("source", ["itrans", "iso", "devanagari", "tamil", "gurmukhi"])
+def test_counts_are_those_of_tokens_and_units(source):
+    rnd = random.Random(37)
+    counter = K.counter(source)
+    for _ in range(100):
+        text = soup(rnd, source, rnd.randrange(60)) + rnd.choice(["", "##a##", "<b>", " # "])
+        assert (counter.tokens(text), counter.units(text)) == counter.whole(text)
+
+
+def test_names_modes_and_dialects():
+    assert [A.parse_name(x) for x in ("Script.Hindi", "script.readablelatin", " INDIC ", "Script.x", "")] == ["hindi", "readableLatin", "indic", None, None]
+    assert K.empty("ka", "nowhere", "iso") == "" and K.empty(None, "itrans", "iso") is None and K.empty("ka", "itrans", "iso") == "ka"
+    assert K.mixed("telugu") == "indic" and K.mixed("iso") == "iso" and K.mixed("nowhere") == "nowhere"
+    assert O.parse("TAMILtraditional,  asciinumerals", "loose") == 5 and O.parse("ASCIINumerals x", "plain") == 4 and O.add(1, 4, 5) == 5
