@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents`` after all stages."""
+    """The packed pieces of ``documents`` after all stages.
+
+    A null or empty text has no language and goes in the first stage; documents with a null key stay if they are alike to no other; repeated rows are
+    alike in key and text and stay together; an empty table gives an empty result; other columns are carried to the last stage and ignored, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -190,7 +190,8 @@ def _predicted(rows: DataFrame, model: Model, ddl: str) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without documents of undetermined language or with a score under ``least``; all columns come back as they were.
 
-    The model learns from the documents' own labels.
+    The model learns from the documents' own labels.  A null, empty or letterless text goes; a tie between two languages has a score of a half and stays; a
+    null key teaches nothing but its row is judged like any other; repeated rows are judged each; without any label everything goes; an empty table stays empty.
     """
     model = fit(docs, key, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)

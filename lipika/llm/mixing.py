@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window
 
-from lipika.llm.common import materialize
+from lipika.llm.common import broadcast_if_small, free_name, materialize
 
 #: Leaves of the tree, at most; their table is what the driver budgets and broadcasts.
 MAX_LEAVES = 100_000
@@ -156,12 +156,16 @@ def mix(docs: DataFrame, root: Node, domain: Column, share: float, epochs: int,
 
 
 def keep_mixed(docs: DataFrame, root: Node, domain: Column, share: float, seed: int) -> DataFrame:
-    """``docs`` in the target mix, each at most once; all columns come back as they were.  The texts are not shuffled."""
+    """``docs`` in the target mix, each at most once; all columns come back as they were, and no column name is taken.  The texts are not shuffled.
+
+    Nulls, ties, repeated rows and empty tables are taken as ``mix`` takes them.
+    """
     _, cuts = plan(docs, root, domain, share, 1, seed)
-    cuts = cuts.select(*[F.col(n).alias(f"__{n}") for n in PATH], F.col("epochs").alias("__epochs"), F.col("last").alias("__last"))
-    same = [F.coalesce(c.cast("string"), F.lit("")) == F.col(f"__{n}") for n, c in zip(PATH, (domain, F.col("lang"), F.col("source")))]
-    rank = epoch_rank(F.col("doc_id").cast("long"), F.col("__epochs"), seed)
-    return docs.join(F.broadcast(cuts), same[0] & same[1] & same[2]).where((F.col("__epochs") > 0) | (rank <= F.col("__last"))).select(*docs.columns)
+    name = {n: free_name(docs, f"cut_{n}") for n in (*PATH, "epochs", "last")}
+    cuts = cuts.select(*[F.col(n).alias(x) for n, x in name.items()])
+    same = [F.coalesce(c.cast("string"), F.lit("")) == F.col(name[n]) for n, c in zip(PATH, (domain, F.col("lang"), F.col("source")))]
+    rank = epoch_rank(F.col("doc_id").cast("long"), F.col(name["epochs"]), seed)
+    return docs.join(broadcast_if_small(cuts), same[0] & same[1] & same[2]).where((F.col(name["epochs"]) > 0) | (rank <= F.col(name["last"]))).select(*docs.columns)
 
 
 def mix_sql(root: Node, domain: str, share: float, epochs: int, seed: int) -> str:

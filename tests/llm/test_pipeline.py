@@ -46,3 +46,8 @@ def test_stages(spark, folder):
     pieces = pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in docs.collect()}
     assert pipeline.run(spark, folder).count() == pieces.count()
+
+
+def test_empty_table(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
