@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -48,7 +50,7 @@ RUN_LETTERS, INNER_LETTERS = 4, 5
 #: Significance, in nats, of a text without segments, and from which segments add to the best one's.
 NOTHING, SIGNIFICANT = -10.0, math.log(100)
 #: Words remembered in each worker; beyond it the memory starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 
 # Characters that look like letters (a character of two readings is in both tables).
 LOOK_ALIKE = str.maketrans("0134579@$!|€+£аеорсухіѕјοιαν", "oieastgasilettaeopcyxisjoiav")
@@ -68,11 +70,16 @@ def levels(word: str) -> list[str]:
 def readings(token: str) -> list[str]:
     """Words that a lower-case token may stand for: without marks over its letters, and with look-alikes as the letters they look like."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
+    if plain.isascii() and plain.isalpha():
+        return [plain]
     return [letters(plain), letters(plain.translate(LOOK_ALIKE)), letters(plain.translate(LOOK_ALIKE_L).translate(LOOK_ALIKE))]
 
 
+DOUBLED = re.compile(r"(.)\1+")
+
+
 def squeezed(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", word)
+    return DOUBLED.sub(r"\1", word)
 
 
 def shortened(word: str) -> list[str]:
@@ -85,6 +92,10 @@ class Similar:
 
     def __init__(self, strong: dict[str, float]):
         self.squeezed: dict[str, float] = {}
+        # what a word with a strong one inside, or one letter away from one, must have: its first letters somewhere, or one of its ends
+        self.first = {w[:RUN_LETTERS] for w in strong if len(w) >= RUN_LETTERS}
+        self.heads = {w[:n] for w in strong if len(w) >= INNER_LETTERS for n in range(2, len(w))}
+        self.tails = {w[-n:] for w in strong if len(w) >= INNER_LETTERS for n in range(2, len(w))}
         self.near: dict[str, float] = {}
         self.words = {w: s for w, s in strong.items() if len(w) >= RUN_LETTERS}
         self.by_length: dict[int, str] = {}
@@ -96,14 +107,20 @@ class Similar:
                 for key in shortened(w):
                     self.near[key] = max(s, self.near.get(key, 0.0))
         self.lengths = sorted(self.by_length)
+        self.longest = self.lengths[-1] if self.lengths else 0
 
     def inside(self, word: str, least: int) -> float:
         """The best score of strong words of at least so many letters in a row of letters."""
-        found = (self.words.get(word[i : i + n], 0.0) for n in self.lengths if n >= least for i in range(len(word) - n + 1))
-        return max(found, default=0.0)
+        best, get, n = 0.0, self.words.get, RUN_LETTERS
+        for i in range(len(word) - least + 1):
+            if word[i : i + n] in self.first:
+                best = max(best, *(get(word[i : i + size], 0.0) for size in self.lengths if size >= least))
+        return best
 
     def masked(self, token: str) -> float:
         """The best score of strong words that the token's letters fit, any other sign in it standing for one letter."""
+        if token.isalnum():
+            return 0.0
         core = token.strip("".join({c for c in token if not c.isalnum()}))
         if core not in token or len(core) not in self.by_length or core.isalpha() or sum(map(str.isalpha, core)) < max(2, len(core) / 2):
             return 0.0
@@ -112,9 +129,10 @@ class Similar:
 
     def score(self, word: str) -> float:
         best = self.squeezed.get(squeezed(word), 0.0)
-        if len(word) >= INNER_LETTERS:
+        if len(word) >= INNER_LETTERS and self.lengths:
             best = max(best, self.inside(word, INNER_LETTERS))
-            if len(word) <= (self.lengths[-1] if self.lengths else 0) + 1:
+            half = (len(word) - 1) // 2
+            if len(word) <= self.longest + 1 and (word[:half] in self.heads or word[-half:] in self.tails):
                 best = max(best, *(self.near.get(x, 0.0) for x in shortened(word)))
         return best
 
@@ -129,7 +147,7 @@ class Model:
     """Scores of words and beginnings, the words known at all (sorted hashes), and the law's parameters."""
 
     scores: dict[str, float]
-    known: np.ndarray
+    known: array
     lam: float = 1.0
     place: float = 0.0
     scale: float = 1.0
@@ -140,14 +158,20 @@ class Model:
     similar: Similar | None = None
 
     def lookup(self, word: str) -> float:
-        for level in levels(word):
-            if (found := self.scores.get(level)) is not None:
+        """The score of the longest level that there is; 0 without any."""
+        get = self.scores.get
+        if (found := get("0" + word)) is not None:
+            return found
+        n = len(word)
+        if n >= 3:
+            if n >= 5 and (found := get("5" + word[:5])) is not None or n >= 4 and (found := get("4" + word[:4])) is not None:
                 return found
+            return get("3" + word[:3], 0.0)
         return 0.0
 
     def is_known(self, word: str) -> bool:
-        h = np.uint64(hash_of(word))
-        at = int(np.searchsorted(self.known, h))
+        h = hash_of(word)
+        at = bisect_left(self.known, h)
         return at < len(self.known) and self.known[at] == h
 
     def index(self) -> Similar:
@@ -159,25 +183,26 @@ class Model:
         token = token.lower()
         word = letters(token)
         best = self.lookup(word) if word else 0.0
-        inner = token.strip("".join({c for c in token if not c.isalpha()})) if not token.isalpha() else token
-        if best >= STRONG or inner == word and (not word or self.is_known(word)):
+        if best >= STRONG or (word == token or word in token) and (not word or self.is_known(word)):
             return best - DRIFT
         tried = {word, ""}
-        for reading in readings(token):
-            if reading not in tried:
-                tried.add(reading)
-                best = max(best, RELIABLE * self.lookup(reading))
+        if not (token.isascii() and token.isalpha()):
+            for reading in readings(token):
+                if reading not in tried:
+                    tried.add(reading)
+                    best = max(best, RELIABLE * self.lookup(reading))
         if best < STRONG:
-            best = max(best, *(RELIABLE * self.index().score(x) for x in tried if len(x) >= RUN_LETTERS), RELIABLE * self.index().masked(token), best)
+            similar = self.index()
+            found = [similar.score(x) for x in tried if len(x) >= RUN_LETTERS]
+            best = max(best, RELIABLE * max(found, default=0.0), RELIABLE * similar.masked(token))
         return best - DRIFT
 
     def token_scores(self, text: str) -> np.ndarray:
         tokens, memo = text.split(), self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for token in tokens:
-            if token not in memo:
-                memo[token] = self.learn(token)
+        for token in set(tokens).difference(memo):
+            memo[token] = self.learn(token)
         out = np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
         seen: Counter = Counter()
         for i in np.flatnonzero(out > 0).tolist():
@@ -368,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sizes = Counter({(r["y"], r["fold"]): r["count"] for r in rows.groupBy("y", "fold").count().collect()})
     n1, n0 = (sum(sizes[y, f] for f in range(FOLDS)) for y in (1, 0))
     if not n1 or not n0:
-        return Model({}, np.zeros(0, np.uint64), log_odds=30.0 + math.log(2) if n1 else -30.0)
+        return Model({}, array("Q"), log_odds=30.0 + math.log(2) if n1 else -30.0)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,6 +419,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = [min(x, 0.999) for x in share]
     found = log_odds(counts, share).toArrow()
     known = np.sort(counts.where(F.col("key").startswith("0")).select(F.xxhash64(F.expr("substring(key, 2)")).alias("h")).toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
+    known = array("Q", known.tobytes())
     keys = found["key"].to_pylist()
     table = np.array(found["scores"].to_pylist(), dtype=float).reshape(-1, FOLDS + 1)
     models = [Model(dict(zip(keys, table[:, i].tolist())), known) for i in range(FOLDS + 1)]
