@@ -9,15 +9,14 @@ the next epoch, in that epoch's seeded order, the longest prefix that fits.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window
 
-from lipika.llm.common import broadcast_if_small, free_name, materialize
+from lipika.llm.common import BROADCAST_BYTES, counted_bytes, free_name, materialize
 
-#: Leaves of the tree, at most; their table is what the driver budgets and broadcasts.
-MAX_LEAVES = 100_000
+#: Parts that a leaf's rows are dealt to where the leaves' table is too large to broadcast.
+SALTS = 64
 #: A leaf's order is cut into so many parts, of which only the one that the budget ends in is summed row by row.
 PARTS = 1024
 PATH = ("domain", "lang", "source")
@@ -36,50 +35,71 @@ class Node:
         return self.children.get(name) or Node(self.default)
 
 
-def fill(budget: int, weights: list[float], limits: list[int]) -> list[int]:
-    """``budget`` shared by weight, nobody above its limit, shortages to the others by weight.
+def weighted(leaves: DataFrame, root: Node) -> DataFrame:
+    """``leaves`` with the weights, in millionths, of their nodes at each depth: w1, w2, w3.  The tree's named nodes are a parameter, so broadcast."""
+    spark, named = leaves.sparkSession, {(): root}
+    for _ in PATH:
+        named |= {(*path, name): child for path, node in named.items() for name, child in node.children.items()}
+    for n in range(1, len(PATH) + 1):
+        names = [f"{x} string" for x in PATH[:n]]
+        given = spark.createDataFrame([(*path, round(node.weight * MILLION)) for path, node in named.items() if len(path) == n], ", ".join([*names, "given long"]))
+        others = spark.createDataFrame([(*path, round(node.default * MILLION)) for path, node in named.items() if len(path) == n - 1], ", ".join([*names[:-1], "others long"]))
+        leaves = leaves.join(F.broadcast(given), list(PATH[:n]), "left")
+        leaves = leaves.join(F.broadcast(others), list(PATH[: n - 1]), "left") if n > 1 else leaves.withColumn("others", F.lit(round(root.default * MILLION)))
+        leaves = leaves.withColumn(f"w{n}", F.coalesce("given", "others", F.lit(MILLION))).drop("given", "others")
+    return leaves
+
 
-    Weights count in millionths and shares are rounded down, so that every engine gets the same.
+def budgets(leaves: DataFrame, root: Node, total: int, epochs: int) -> DataFrame:
+    """``leaves`` (path and tokens) with each leaf's ``budget``.
+
+    Level by level, a node's budget is filled into its children in order of (what they can use / weight): those that their share by weight suffices get all they
+    can use, the others share the rest by weight, rounded down.  Weights count in millionths, so every engine gets the same.
     """
-    parts = [round(w * MILLION) for w in weights]
-    order = sorted((i for i, w in enumerate(parts) if w > 0), key=lambda i: Fraction(limits[i], parts[i]))
-    out, left, weight = [0] * len(weights), budget, sum(parts[i] for i in order)
-    for n, i in enumerate(order):
-        if limits[i] * weight <= left * parts[i]:
-            out[i] = limits[i]
-            left, weight = left - limits[i], weight - parts[i]
-        else:
-            for j in order[n:]:
-                out[j] = min(limits[j], left * parts[j] // weight)
-            break
-    return out
-
-
-def budgets(root: Node, supply: dict[tuple[str, ...], int], total: int) -> dict[tuple[str, ...], int]:
-    """Budget of each leaf path, given what it can supply."""
-    if not supply:
-        return {}
-    if () in supply:
-        return {(): min(total, supply[()])}
-    parts: dict[str, dict[tuple[str, ...], int]] = {}
-    for path, n in supply.items():
-        parts.setdefault(path[0], {})[path[1:]] = n
-    names = sorted(parts)
-    nodes = [root.child(name) for name in names]
-
-    def usable(node: Node, below: dict[tuple[str, ...], int]) -> int:
-        return sum(n for path, n in below.items() if all_positive(node, path))
-
-    shares = fill(total, [n.weight for n in nodes], [usable(n, parts[x]) for n, x in zip(nodes, names)])
-    return {(name, *path): b for name, node, share in zip(names, nodes, shares) for path, b in budgets(node, parts[name], share).items()}
-
-
-def all_positive(node: Node, path: tuple[str, ...]) -> bool:
-    for name in path:
-        node = node.child(name)
-        if node.weight <= 0:
-            return False
-    return True
+    leaves = weighted(leaves, root)
+    above = None
+    for n in range(1, len(PATH) + 1):
+        keys, parents = list(PATH[:n]), list(PATH[: n - 1])
+        usable = F.lit(True)
+        for m in range(n + 1, len(PATH) + 1):
+            usable = usable & (F.col(f"w{m}") > 0)
+        nodes = leaves.groupBy(*keys).agg(F.first(f"w{n}").alias("given"), F.sum(F.when(usable, F.col("tokens")).otherwise(0)).alias("supply"))
+        nodes = nodes.withColumn("above", F.lit(total).cast("long")) if above is None else nodes.join(above, parents)
+        live = F.col("given") > 0
+        nodes = nodes.select(
+            *keys,
+            F.when(live, F.col("given")).otherwise(0).cast("decimal(18,0)").alias("weight"),
+            F.when(live, F.col("supply") * epochs).otherwise(0).cast("decimal(19,0)").alias("cap"),
+            F.col("above").cast("decimal(19,0)").alias("above"),
+        )
+        siblings = Window.partitionBy(*parents)
+        order = F.when(F.col("weight") > 0, F.col("cap").cast("double") / F.col("weight").cast("double")).otherwise(-1.0)
+        earlier = siblings.orderBy(order, keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        nodes = nodes.select(
+            "*",
+            (F.col("above") - F.coalesce(F.sum("cap").over(earlier), F.lit(0))).cast("decimal(19,0)").alias("room"),
+            (F.sum("weight").over(siblings) - F.coalesce(F.sum("weight").over(earlier), F.lit(0))).cast("decimal(18,0)").alias("rest"),
+        ).withColumn("short", F.col("cap") * F.col("rest") > F.col("room") * F.col("weight"))
+        nodes = nodes.select(
+            "*", F.max(F.when(F.col("short"), F.col("room"))).over(siblings).alias("to_share"), F.max(F.when(F.col("short"), F.col("rest"))).over(siblings).alias("by_weight")
+        )
+        share = F.when(F.col("short"), F.least(F.col("cap").cast("long"), F.expr("(to_share * weight) div by_weight"))).otherwise(F.col("cap").cast("long"))
+        above = nodes.select(*keys, share.alias("above"))
+    return leaves.select(*PATH, "tokens").join(above.withColumnRenamed("above", "budget"), list(PATH))
+
+
+def join_leaves(rows: DataFrame, leaves: DataFrame, names: list[str], path: list[Column], salt: Column) -> DataFrame:
+    """``rows`` with the columns of their leaf, whose path is in ``names``: by broadcast if the leaves' counted bytes are few, else shuffled by path and ``salt``,
+    so that a hot leaf's rows are spread."""
+    dealt = free_name(rows, "dealt")
+    if counted_bytes(leaves) <= BROADCAST_BYTES:
+        leaves, same = F.broadcast(leaves), F.lit(True)
+    else:
+        leaves = leaves.withColumn(dealt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = F.pmod(F.xxhash64(salt), F.lit(SALTS)) == F.col(dealt)
+    for name, of in zip(names, path):
+        same = same & (of == F.col(name))
+    return rows.join(leaves, same).select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(c) for c in leaves.columns if c not in (*names, dealt)])
 
 
 def token_count(text: Column) -> Column:
@@ -100,15 +120,12 @@ def plan(docs: DataFrame, root: Node, domain: Column, share: float, epochs: int,
     spark = docs.sparkSession
     path = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(PATH, (domain, F.col(lang), F.col(source)))]
     slim = materialize(docs.select(F.col(key).cast("long").alias("doc_id"), *path, token_count(F.col(text)).alias("tokens")), "tokens")
-    leaves = slim.groupBy(*PATH).agg(F.sum("tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    tokens = {tuple(r[n] for n in PATH): r["tokens"] for r in leaves}
-    found = budgets(root, {p: n * epochs for p, n in tokens.items()}, int(share * sum(tokens.values())))
-    rows = [(*p, b, b // n if n else 0, b % n if n else 0) for p, b in found.items() for n in [tokens[p]]]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in PATH] + [T.StructField(n, T.LongType()) for n in ("budget", "epochs", "rest")])
-    table = spark.createDataFrame(rows, schema)
-    ranked = slim.join(F.broadcast(table), list(PATH)).where("rest > 0").withColumn("rank", epoch_rank(F.col("doc_id"), F.col("epochs"), seed))
+    leaves = materialize(slim.groupBy(*PATH).agg(F.sum("tokens").alias("tokens")), "leaves")
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)
+    rest = F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0)
+    table = materialize(budgets(leaves, root, int(share * total), epochs).select(*PATH, "budget", whole.alias("epochs"), rest.alias("rest")), "budgets")
+    ranked = _with_leaf(slim, table.where("rest > 0")).withColumn("rank", epoch_rank(F.col("doc_id"), F.col("epochs"), seed))
     part = F.shiftright("rank", 50)
     before = Window.partitionBy(*PATH).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
@@ -123,7 +140,7 @@ def plan(docs: DataFrame, root: Node, domain: Column, share: float, epochs: int,
     ends = materialize(ends, "ends")
     peers = Window.partitionBy(*PATH).orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)
     cuts = (
-        ranked.join(F.broadcast(ends), list(PATH))
+        _with_leaf(ranked, ends)
         .where(part == F.col("part"))
         .withColumn("to", F.sum("tokens").over(peers))
         .where("to <= room")
@@ -138,6 +155,11 @@ def plan(docs: DataFrame, root: Node, domain: Column, share: float, epochs: int,
     return slim, cuts.select(*PATH, "budget", "epochs", last.cast("long").alias("last"))
 
 
+def _with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    names = [f"leaf_{n}" for n in PATH]
+    return join_leaves(rows, leaves.withColumnsRenamed(dict(zip(PATH, names))), names, [F.col(n) for n in PATH], F.col("doc_id"))
+
+
 def mix(docs: DataFrame, root: Node, domain: Column, share: float, epochs: int, seed: int) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, budget, copies) of every document that is taken, ``copies`` times.
 
@@ -148,7 +170,7 @@ def mix(docs: DataFrame, root: Node, domain: Column, share: float, epochs: int,
     slim, cuts = plan(docs, root, domain, share, epochs, seed)
     taken = F.col("epochs") + (epoch_rank(F.col("doc_id"), F.col("epochs"), seed) <= F.col("last")).cast("long")
     return (
-        slim.join(F.broadcast(cuts), list(PATH))
+        _with_leaf(slim, cuts)
         .withColumn("copies", taken)
         .where("copies > 0")
         .select("doc_id", *PATH, "tokens", "budget", "copies")
@@ -163,9 +185,9 @@ def keep_mixed(docs: DataFrame, root: Node, domain: Column, share: float, seed:
     _, cuts = plan(docs, root, domain, share, 1, seed)
     name = {n: free_name(docs, f"cut_{n}") for n in (*PATH, "epochs", "last")}
     cuts = cuts.select(*[F.col(n).alias(x) for n, x in name.items()])
-    same = [F.coalesce(c.cast("string"), F.lit("")) == F.col(name[n]) for n, c in zip(PATH, (domain, F.col("lang"), F.col("source")))]
+    path = [F.coalesce(c.cast("string"), F.lit("")) for c in (domain, F.col("lang"), F.col("source"))]
     rank = epoch_rank(F.col("doc_id").cast("long"), F.col(name["epochs"]), seed)
-    return docs.join(broadcast_if_small(cuts), same[0] & same[1] & same[2]).where((F.col(name["epochs"]) > 0) | (rank <= F.col(name["last"]))).select(*docs.columns)
+    return join_leaves(docs, cuts, [name[n] for n in PATH], path, F.col("doc_id")).where((F.col(name["epochs"]) > 0) | (rank <= F.col(name["last"]))).select(*docs.columns)
 
 
 def mix_sql(root: Node, domain: str, share: float, epochs: int, seed: int) -> str:

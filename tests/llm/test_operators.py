@@ -8,6 +8,7 @@ import struct
 import zipfile
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -363,18 +364,75 @@ def test_estimates_are_close():
 
 # ---- 5 mixing
 
-def test_fill_gives_shortages_to_siblings():
-    assert mixing.fill(100, [1, 1, 2], [10, 1000, 1000]) == [10, 30, 60]
-    assert mixing.fill(100, [1, 1], [10, 20]) == [10, 20]
-    assert mixing.fill(0, [1], [5]) == [0] and mixing.fill(10, [0, 1], [5, 50]) == [0, 10]
+def fill(budget: int, weights: list[float], limits: list[int]) -> list[int]:
+    """``budget`` shared by weight, nobody above its limit, shortages to the others by weight.
+
+    Weights count in millionths and shares are rounded down, so that every engine gets the same.
+    """
+    parts = [round(w * mixing.MILLION) for w in weights]
+    order = sorted((i for i, w in enumerate(parts) if w > 0), key=lambda i: Fraction(limits[i], parts[i]))
+    out, left, weight = [0] * len(weights), budget, sum(parts[i] for i in order)
+    for n, i in enumerate(order):
+        if limits[i] * weight <= left * parts[i]:
+            out[i] = limits[i]
+            left, weight = left - limits[i], weight - parts[i]
+        else:
+            for j in order[n:]:
+                out[j] = min(limits[j], left * parts[j] // weight)
+            break
+    return out
+
+
+def brute_budgets(root: mixing.Node, supply: dict[tuple[str, ...], int], total: int) -> dict[tuple[str, ...], int]:
+    """Budget of each leaf path, given what it can supply."""
+    if not supply:
+        return {}
+    if () in supply:
+        return {(): min(total, supply[()])}
+    parts: dict[str, dict[tuple[str, ...], int]] = {}
+    for path, n in supply.items():
+        parts.setdefault(path[0], {})[path[1:]] = n
+    names = sorted(parts)
+    nodes = [root.child(name) for name in names]
+
+    def usable(node: mixing.Node, below: dict[tuple[str, ...], int]) -> int:
+        return sum(n for path, n in below.items() if all_positive(node, path))
+
+    shares = fill(total, [n.weight for n in nodes], [usable(n, parts[x]) for n, x in zip(nodes, names)])
+    return {(name, *path): b for name, node, share in zip(names, nodes, shares) for path, b in brute_budgets(node, parts[name], share).items()}
+
+
+def all_positive(node: mixing.Node, path: tuple[str, ...]) -> bool:
+    for name in path:
+        node = node.child(name)
+        if node.weight <= 0:
+            return False
+    return True
 
 
-def test_budgets_redistribute_among_siblings_before_ancestors():
+def spark_budgets(spark, tree, supply, total, epochs=1):
+    leaves = spark.createDataFrame([(*p, n) for p, n in supply.items()], "domain string, lang string, source string, tokens long")
+    return {(r["domain"], r["lang"], r["source"]): r["budget"] for r in mixing.budgets(leaves, tree, total, epochs).collect()}
+
+
+def test_budgets_redistribute_among_siblings_before_ancestors(spark):
     tree = mixing.Node(children={"a": mixing.Node(1, {"x": mixing.Node(1), "y": mixing.Node(1)}), "b": mixing.Node(1)})
     supply = {("a", "x", "1"): 10, ("a", "y", "1"): 1000, ("b", "z", "1"): 1000}
-    assert mixing.budgets(tree, supply, 200) == {("a", "x", "1"): 10, ("a", "y", "1"): 90, ("b", "z", "1"): 100}
+    assert spark_budgets(spark, tree, supply, 200) == {("a", "x", "1"): 10, ("a", "y", "1"): 90, ("b", "z", "1"): 100}
     short = {("a", "x", "1"): 10, ("a", "y", "1"): 20, ("b", "z", "1"): 1000}
-    assert mixing.budgets(tree, short, 200) == {("a", "x", "1"): 10, ("a", "y", "1"): 20, ("b", "z", "1"): 170}
+    assert spark_budgets(spark, tree, short, 200) == {("a", "x", "1"): 10, ("a", "y", "1"): 20, ("b", "z", "1"): 170}
+
+
+def test_budgets_are_those_of_filling_node_by_node(spark):
+    rnd = random.Random(3)
+    for total, epochs in ((137, 1), (1500, 2)):
+        weight = lambda: rnd.choice([0, 0.25, 1, 1, 2.5])
+        tree = mixing.Node(default=rnd.choice([0.5, 1]))
+        for d in "ab":
+            tree.children[d] = mixing.Node(weight(), {x: mixing.Node(weight(), {"1": mixing.Node(weight())}, rnd.choice([0, 1])) for x in "xy"}, weight())
+        supply = {(d, x, str(n)): rnd.choice([0, 3, 50, 50, 400]) for d in "abc" for x in "xyz" for n in range(4)}
+        want = brute_budgets(tree, {p: n * epochs for p, n in supply.items()}, total)
+        assert spark_budgets(spark, tree, supply, total, epochs) == want
 
 
 def brute_mix(rows, share, epochs):
@@ -383,7 +441,7 @@ def brute_mix(rows, share, epochs):
         n = (s or "")[3:]
         leaf["other" if not n.isdigit() else "web" if int(n) < 12 else "library", l or "", s or ""].append((i, len(byte_words(t))))
     tokens = {p: sum(x[1] for x in v) for p, v in leaf.items()}
-    found = mixing.budgets(queries.MIX, {p: n * epochs for p, n in tokens.items()}, int(share * sum(tokens.values())))
+    found = brute_budgets(queries.MIX, {p: n * epochs for p, n in tokens.items()}, int(share * sum(tokens.values())))
     out = Counter()
     for p, v in leaf.items():
         whole, rest = divmod(found[p], tokens[p]) if tokens[p] else (0, 0)
@@ -396,6 +454,13 @@ def brute_mix(rows, share, epochs):
     return out
 
 
+def test_mixing_beyond_a_broadcast(docs, monkeypatch):
+    keep = lambda: Counter(r["doc_id"] for r in mixing.keep_mixed(docs, queries.MIX, queries.source_domain(), 0.5, 1).collect())
+    want = keep()
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert keep() == want
+
+
 @pytest.mark.parametrize("share,epochs", [(0.75, 4), (0.2, 1), (1.0, 1), (5.0, 2)])
 def test_mixing(docs, share, epochs):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
