@@ -7,26 +7,26 @@ languages are weighed by the sums over its words.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lipika.llm.common import materialize
+from lipika.llm.common import broadcast_if_small, materialize
 
 #: Documents that the model is fitted on, for each language, at most about (a hash of key and text picks them).
 SAMPLE_DOCUMENTS = 4_000
-#: Languages, words for each language and n-grams of each length, at most; the most frequent.
-MODEL_LANGUAGES, MODEL_WORDS, MODEL_GRAMS = 200, 40_000, 40_000
+#: Occurrences in a language's sample that make a word known in it; rarer ones are scored by their n-grams, like unseen ones.
+KNOWN = 2
 LONGEST = 5
 #: Added to each count.
 ALPHA = 0.1
-#: Words remembered in each worker; beyond it the memory starts anew.
-MEMO_WORDS = 150_000
+#: Words remembered in each worker, and their scores; beyond either the memory starts anew.
+MEMO_WORDS, MEMO_SCORES = 150_000, 4_000_000
 UNDETERMINED = "und"
 
 
@@ -40,14 +40,45 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class Table:
+    """Log frequencies by spelling and language.  Most spellings are known in few languages: a row has these only, as what they exceed the value of
+    its part (words, or n-grams of one length) for languages without the spelling."""
+
+    rows: dict[str, int]
+    starts: np.ndarray
+    columns: np.ndarray
+    above: np.ndarray
+    part: np.ndarray
+    bases: np.ndarray
+
+    @classmethod
+    def of(cls, spellings: pa.Array, columns: np.ndarray, counts: np.ndarray, parts: np.ndarray, totals: list[np.ndarray]) -> Table:
+        """From counts of (spelling, language), sorted by spelling, which is of one of the ``parts``; ``totals``: occurrences by language in each part."""
+        codes = pc.dictionary_encode(spellings)
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        at, names = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+        starts = np.concatenate((np.flatnonzero(np.diff(at, prepend=-1)), [len(at)])).astype(np.int64)
+        part = parts[starts[:-1]]
+        sizes = np.bincount(part, minlength=len(totals))
+        bases = np.array([np.log(ALPHA / (total + ALPHA * size)) for total, size in zip(totals, sizes)])
+        return cls(dict(zip(names, range(len(names)))), starts, columns.astype(np.int32), np.log((counts + ALPHA) / ALPHA), part, bases)
+
+    def sum(self, rows: list[int]) -> np.ndarray:
+        """The rows' sum; they are of one part."""
+        out = self.bases[self.part[rows[0]]] * len(rows)
+        spans = [slice(self.starts[r], self.starts[r + 1]) for r in rows]
+        columns, above = (np.concatenate([x[s] for s in spans]) for x in (self.columns, self.above))
+        return out + np.bincount(columns, above, len(out))
+
+
 @dataclass
 class Model:
-    """Log frequencies by word and by n-gram, a row of ``table`` each, a column for each language."""
+    """Tables of words and of n-grams (which differ by their length, and are one table), and the languages that are their columns."""
 
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    table: np.ndarray
+    words: Table | None
+    grams: Table | None
     memo: dict[str, int] = field(default_factory=dict)
     seen: np.ndarray | None = None
     used: int = 0
@@ -57,12 +88,13 @@ class Model:
         word = letters(token)
         if not word:
             return None
-        if (at := self.words.get(word)) is not None:
-            return self.table[at]
+        if self.words is not None and (at := self.words.rows.get(word)) is not None:
+            return self.words.sum([at])
+        get = self.grams.rows.get if self.grams is not None else {}.get
         for n in range(LONGEST, 0, -1):
-            found = [at for g in grams(word, n) if (at := self.grams.get(g)) is not None]
+            found = [at for g in grams(word, n) if (at := get(g)) is not None]
             if found:
-                return self.table[found].sum(axis=0)
+                return self.grams.sum(found)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -70,7 +102,7 @@ class Model:
             return UNDETERMINED, 0.0
         tokens = text.split()
         memo = self.memo
-        if self.seen is None or len(memo) > MEMO_WORDS:
+        if self.seen is None or len(memo) > MEMO_WORDS or self.used * len(self.languages) > MEMO_SCORES:
             memo.clear()
             # row 0: tokens without letters, which count for nothing
             self.seen, self.used = np.zeros((1024, len(self.languages))), 1
@@ -100,21 +132,19 @@ def held_out(key: Column, folds: int = 3, fold: int = 1) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, fold: int = 1) -> Model:
     """A model from at most about ``SAMPLE_DOCUMENTS`` documents of each language outside the held-out fold.
 
-    Rows with a null key, text or language teach nothing.  Without any, every document is undetermined.  More than
-    ``MODEL_LANGUAGES`` languages are an error: none is left out.
+    All of these documents' words and n-grams and all languages are learned.  Rows with a null key, text or language teach nothing.  Without any, every
+    document is undetermined.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(
         F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("k"), folds, fold)
     )
-    sizes = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(MODEL_LANGUAGES + 1).collect()
-    if len(sizes) > MODEL_LANGUAGES:
-        raise ValueError(f"more than {MODEL_LANGUAGES} languages")
-    if not sizes:
-        return Model([], {}, {}, np.zeros((0, 0)))
-    languages = sorted(r["l"] for r in sizes)
-    share = {r["l"]: max(1, min(1 << 20, (SAMPLE_DOCUMENTS << 20) // r["count"])) for r in sizes}
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("l"))
-    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < limit)
+    sizes = materialize(rows.groupBy("l").count(), "languages")
+    languages = sorted(r["l"] for r in sizes.select("l").collect())
+    if not languages:
+        return Model([], None, None)
+    share = sizes.select(F.col("l").alias("of"), F.expr(f"greatest(1, least({1 << 20}, {SAMPLE_DOCUMENTS << 20} div count))").alias("share"))
+    chosen = rows.join(broadcast_if_small(share), F.col("l") == F.col("of"))
+    chosen = chosen.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.col("share"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,36 +159,38 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counts = materialize(
         chosen.select("t", "l").mapInArrow(counted, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words"
     )
-    column = {l: i for i, l in enumerate(languages)}
-    words: dict[str, np.ndarray] = {}
-    for l in languages:
-        best = counts.where((F.col("l") == l) & (F.col("n") > 1)).orderBy(F.col("n").desc(), "w").limit(MODEL_WORDS).toArrow()
-        for w, n in zip(best["w"].to_pylist(), best["n"].to_pylist()):
-            words.setdefault(w, np.zeros(len(languages)))[column[l]] = n
-    by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for w, n in words.items():
-        for size in range(1, LONGEST + 1):
-            for g in grams(w, size):
-                held = by_gram[size].get(g)
-                by_gram[size][g] = n if held is None else held + n
-    sums = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    totals = np.array([max(sums.get(l, 0), 1) for l in languages], dtype=float)
-    table: list[np.ndarray] = []
-
-    def rows_of(found: dict[str, np.ndarray], total: np.ndarray) -> dict[str, int]:
-        out = {}
-        for x, n in found.items():
-            out[x] = len(table)
-            table.append(np.log((n + ALPHA) / (total + ALPHA * len(found))))
-        return out
-
-    word_rows = rows_of(words, totals)
-    gram_rows: dict[str, int] = {}
-    for size in range(1, LONGEST + 1):
-        kept = dict(sorted(by_gram[size].items(), key=lambda x: (-x[1].sum(), x[0]))[:MODEL_GRAMS])
-        if kept:
-            gram_rows |= rows_of(kept, sum(by_gram[size].values()))
-    return Model(languages, word_rows, gram_rows, np.array(table).reshape(-1, len(languages)))
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for l, w, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for size in range(1, LONGEST + 1):
+                    for g in grams(w, size):
+                        found[l, g] += n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([l for l, _ in found], pa.string()), pa.array([g for _, g in found], pa.string()), pa.array(found.values(), pa.int64())], ["l", "w", "n"]
+            )
+
+    known = counts.where(F.col("n") >= KNOWN)
+    by_gram = known.mapInArrow(spelled, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    column = pa.array(languages, pa.string())
+
+    def table_of(found: DataFrame) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        got = found.toArrow().sort_by([("w", "ascending"), ("l", "ascending")])
+        return got, pc.index_in(got["l"], column).to_numpy().astype(np.int64), got["n"].to_numpy().astype(float)
+
+    def sums(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.maximum(np.bincount(columns, counts, len(languages)), 1.0)
+
+    got, columns, n = table_of(known)
+    every = counts.groupBy("l").agg(F.sum("n").alias("n")).toArrow()
+    totals = sums(pc.index_in(every["l"], column).to_numpy().astype(np.int64), every["n"].to_numpy().astype(float))
+    words = Table.of(got["w"], columns, n, np.zeros(len(n), dtype=np.int64), [totals]) if len(n) else None
+    got, columns, n = table_of(by_gram)
+    if not len(n):
+        return Model(languages, words, None)
+    parts = pc.utf8_length(got["w"]).to_numpy().astype(np.int64) - 1
+    by_part = [sums(columns[parts == i], n[parts == i]) for i in range(LONGEST)]
+    return Model(languages, words, Table.of(got["w"], columns, n, parts, by_part))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", folds: int = 3, fold: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -661,17 +662,60 @@ def test_language_id(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
-def test_too_many_languages_are_told(spark, monkeypatch):
-    df = spark.createDataFrame([(i, "a b c", f"l{i % 3}") for i in range(60)], "doc_id long, text string, lang string")
-    monkeypatch.setattr(langid, "MODEL_LANGUAGES", 3)
-    assert langid.fit(df).languages == ["l0", "l1", "l2"]
-    monkeypatch.setattr(langid, "MODEL_LANGUAGES", 2)
-    with pytest.raises(ValueError, match="more than 2 languages"):
-        langid.fit(df)
+def test_every_language_is_learned(spark):
+    df = spark.createDataFrame([(i, f"q{chr(97 + i % 20)}{chr(97 + i % 300 // 20)} common " * 2, f"l{i % 300}") for i in range(2400)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.languages) == 300
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % 300}" for r in langid.predict(df, model).collect())
+
+
+def brute_language(data, text):
+    """Log weights of each language: counts, smoothing and back-off written out."""
+    languages = sorted({l for _, l in data})
+    counts = {l: Counter(w for t, m in data if m == l for w in t.split()) for l in languages}
+    words = {w for l in languages for w, n in counts[l].items() if n > 1}
+    known = {l: {w: n for w, n in counts[l].items() if n > 1} for l in languages}
+    grams = {n: {l: Counter() for l in languages} for n in range(1, 6)}
+    for l in languages:
+        for w, k in known[l].items():
+            for n in grams:
+                marked = f" {w} " if n > 1 else w
+                for i in range(len(marked) - n + 1):
+                    grams[n][l][marked[i : i + n]] += k
+    total = dict.fromkeys(languages, 0.0)
+    for w in text.split():
+        if w in words:
+            for l in languages:
+                total[l] += np.log((known[l].get(w, 0) + 0.1) / (sum(counts[l].values()) + 0.1 * len(words)))
+            continue
+        for n in range(5, 0, -1):
+            marked = f" {w} " if n > 1 else w
+            seen = set().union(*(grams[n][l] for l in languages))
+            found = [g for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in seen]
+            if found:
+                for l in languages:
+                    total[l] += sum(np.log((grams[n][l][g] + 0.1) / (sum(grams[n][l].values()) + 0.1 * len(seen))) for g in found)
+                break
+    return languages, total
+
+
+def test_language_scores_by_hand(spark):
+    rnd = random.Random(29)
+    data = [(" ".join("".join(rnd.choice("abcd" if l == "p" else "bcde" if l == "q" else "cdef") for _ in range(rnd.randrange(1, 6))) for _ in range(12)), l) for l in "pqr" * 12]
+    df = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(data)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    learned = [x for i, x in enumerate(data) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for t, _ in data + [("fed abcdef zzz", "p")]:
+        languages, total = brute_language(learned, t)
+        weights = np.exp(np.array([total[l] for l in languages]) - max(total.values()))
+        lang, score = model.predict(t)
+        assert abs(score - weights.max() / weights.sum()) < 1e-9 and lang == languages[int(weights.argmax())]
 
 
 def test_unseen_words_back_off_to_shorter_grams():
-    model = langid.Model(["a", "b"], {}, {" ab": 0, "c": 1}, np.array([[0.0, -5.0], [-3.0, 0.0]]))
+    spellings, columns, counts = pa.array([" ab", "c", "c"]), np.array([0, 0, 1]), np.array([9, 1, 9])
+    table = langid.Table.of(spellings, columns, counts, np.array([2, 0, 0]), [np.array([10, 10]), np.array([1, 1]), np.array([9, 9])])
+    model = langid.Model(["a", "b"], None, table)
     assert model.predict("ab")[0] == "a" and model.predict("xcx")[0] == "b"
 
 
