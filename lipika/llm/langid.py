@@ -64,12 +64,17 @@ class Table:
         bases = np.array([np.log(ALPHA / (total + ALPHA * size)) for total, size in zip(totals, sizes)])
         return cls(dict(zip(names, range(len(names)))), starts, columns.astype(np.int32), np.log((counts + ALPHA) / ALPHA), part, bases)
 
-    def sum(self, rows: list[int]) -> np.ndarray:
-        """The rows' sum; they are of one part."""
-        out = self.bases[self.part[rows[0]]] * len(rows)
-        spans = [slice(self.starts[r], self.starts[r + 1]) for r in rows]
-        columns, above = (np.concatenate([x[s] for s in spans]) for x in (self.columns, self.above))
-        return out + np.bincount(columns, above, len(out))
+    def add(self, out: np.ndarray, owners: list[int], rows: list[int]) -> None:
+        """Adds the rows to those of ``out`` that own them, by ``owners`` in order; an owner's rows are of one part."""
+        if not rows:
+            return
+        owner, row = np.array(owners), np.array(rows)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        out[owner[first]] += self.bases[self.part[row[first]]] * np.diff(np.append(first, len(owner)))[:, None]
+        length = self.starts[row + 1] - self.starts[row]
+        at = np.arange(length.sum()) + np.repeat(self.starts[row] - (np.cumsum(length) - length), length)
+        cell = np.repeat(owner * out.shape[1], length) + self.columns[at]
+        out += np.bincount(cell, self.above[at], out.size).reshape(out.shape)
 
 
 @dataclass
@@ -83,19 +88,39 @@ class Model:
     seen: np.ndarray | None = None
     used: int = 0
 
-    def learn(self, token: str) -> np.ndarray | None:
-        """The token's log likelihoods; None without letters."""
-        word = letters(token)
-        if not word:
-            return None
-        if self.words is not None and (at := self.words.rows.get(word)) is not None:
-            return self.words.sum([at])
+    def remember(self, tokens: list[str]) -> None:
+        """Gives each token its place in the memory; 0 without letters."""
+        words = self.words.rows.get if self.words is not None else {}.get
         get = self.grams.rows.get if self.grams is not None else {}.get
-        for n in range(LONGEST, 0, -1):
-            found = [at for g in grams(word, n) if (at := get(g)) is not None]
-            if found:
-                return self.grams.sum(found)
-        return np.zeros(len(self.languages))
+        known: tuple[list[int], list[int]] = ([], [])
+        unseen: tuple[list[int], list[int]] = ([], [])
+        n = 0
+        for token in tokens:
+            word = letters(token)
+            if not word:
+                self.memo[token] = 0
+                continue
+            if (at := words(word)) is not None:
+                known[0].append(n)
+                known[1].append(at)
+            else:
+                for size in range(min(LONGEST, len(word) + 2), 0, -1):
+                    found = [at for g in grams(word, size) if (at := get(g)) is not None]
+                    if found:
+                        unseen[0].extend([n] * len(found))
+                        unseen[1].extend(found)
+                        break
+            self.memo[token] = self.used + n
+            n += 1
+        while self.used + n > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        out = self.seen[self.used : self.used + n]
+        out[:] = 0.0
+        if self.words is not None:
+            self.words.add(out, *known)
+        if self.grams is not None:
+            self.grams.add(out, *unseen)
+        self.used += n
 
     def predict(self, text: str) -> tuple[str, float]:
         if not self.languages:
@@ -106,15 +131,9 @@ class Model:
             memo.clear()
             # row 0: tokens without letters, which count for nothing
             self.seen, self.used = np.zeros((1024, len(self.languages))), 1
-        for token in tokens:
-            if token not in memo:
-                row = self.learn(token)
-                memo[token] = 0 if row is None else self.used
-                if row is not None:
-                    if self.used == len(self.seen):
-                        self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
-                    self.seen[self.used] = row
-                    self.used += 1
+        new = list(set(tokens).difference(memo))
+        for i in range(0, len(new), MEMO_WORDS):
+            self.remember(new[i : i + MEMO_WORDS])
         at = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
         if not at.any():
             return UNDETERMINED, 0.0
@@ -159,6 +178,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     counts = materialize(
         chosen.select("t", "l").mapInArrow(counted, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words"
     )
+
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
