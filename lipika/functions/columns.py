@@ -6,6 +6,8 @@ Arrow batches, without shuffle; tables are compiled once in each worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -15,6 +17,16 @@ TOKEN = "struct<pos:int,class:string,idx:int,kind:string,literal:string>"
 UNIT = "struct<pos:int,class:string,idx:int,mark:int,sign:int,accent:int,literal:string>"
 
 
+#: Bytes of text that are Python objects at a time.
+SLICE_BYTES = 1 << 20
+
+
+def _sliced(texts: pa.Array, make: Callable[[list[str | None]], pa.Array]) -> pa.Array:
+    """``make`` over the texts, a slice at a time: a batch of long texts is never whole in Python."""
+    step = max(1, len(texts) * SLICE_BYTES // max(texts.nbytes, 1))
+    return pa.concat_arrays([make(texts.slice(at, step).to_pylist()) for at in range(0, max(len(texts), 1), step)])
+
+
 def _lists(rows: list[list[tuple] | None], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
     """Arrow lists of structs from rows of tuples, column by column; null for None."""
     offsets, flat = [0], []
@@ -57,7 +69,7 @@ def transliterate(text: Column | str, source: str, target: str, options: int | s
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([one(t, source, target, mask) for t in texts.to_pylist()], pa.string())
+        return _sliced(texts, lambda some: pa.array([one(t, source, target, mask) for t in some], pa.string()))
 
     return run(_column(text).cast("string")).alias("transliterated")
 
@@ -76,7 +88,7 @@ def tokens(text: Column | str, source: str, options: int | str = 0) -> Column:
 
     @F.arrow_udf(f"array<{TOKEN}>")
     def run(texts: pa.Array) -> pa.Array:
-        return _lists([one(t) for t in texts.to_pylist()], _TOKEN_FIELDS)
+        return _sliced(texts, lambda some: _lists([one(t) for t in some], _TOKEN_FIELDS))
 
     return run(_column(text).cast("string"))
 
@@ -103,41 +115,56 @@ def units(text: Column | str, source: str, options: int | str = 0) -> Column:
 
     @F.arrow_udf(f"array<{UNIT}>")
     def run(texts: pa.Array) -> pa.Array:
-        return _lists([one(t) for t in texts.to_pylist()], _UNIT_FIELDS)
+        return _sliced(texts, lambda some: _lists([one(t) for t in some], _UNIT_FIELDS))
 
     return run(_column(text).cast("string"))
 
 
 def token_counts(text: Column | str, source: str, options: int | str = 0) -> Column:
-    """(class, idx, n): how often each phoneme occurs; null for a null text or an unknown source.  Words are counted once and remembered."""
+    """(class, idx, n): how often each phoneme occurs; null for a null text or an unknown source."""
     mask = _mask(options)
     if kernel.reader(source) is None:
         return F.lit(None).cast("array<struct<class:string,idx:int,n:bigint>>")
 
+    def one(t: str | None) -> list[tuple] | None:
+        return None if t is None else [(A.CLASSES[c], i, n) for (c, i), n in kernel.counter(source, mask).tokens(t).items()]
+
     @F.arrow_udf("array<struct<class:string,idx:int,n:bigint>>")
     def run(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else [(A.CLASSES[c], i, n) for (c, i), n in kernel.counter(source, mask).tokens(t).items()] for t in texts.to_pylist()]
-        return _lists(rows, [("class", pa.string()), ("idx", pa.int32()), ("n", pa.int64())])
+        return _sliced(texts, lambda some: _lists([one(t) for t in some], [("class", pa.string()), ("idx", pa.int32()), ("n", pa.int64())]))
 
     return run(_column(text).cast("string"))
 
 
-def unit_counts(text: Column | str, source: str, options: int | str = 0) -> Column:
-    """(n_units, n_mute, n_signs): written units, those with a mute consonant and those with a sign; null for a null text or an unknown source."""
-    mask = _mask(options)
-    kind = "struct<n_units:bigint,n_mute:bigint,n_signs:bigint>"
+def _numbers(text: Column | str, source: str, names: list[str], one: Callable[[str], tuple[int, ...]]) -> Column:
+    """A struct of numbers for each text; null for a null text or an unknown source."""
+    kind = "struct<" + ",".join(f"{n}:bigint" for n in names) + ">"
     if kernel.reader(source) is None:
         return F.lit(None).cast(kind)
 
+    def some(texts: list[str | None]) -> pa.Array:
+        rows = [None if t is None else one(t) for t in texts]
+        columns = [pa.array([None if r is None else r[i] for r in rows], pa.int64()) for i in range(len(names))]
+        return pa.StructArray.from_arrays(columns, names=names, mask=pa.array([r is None for r in rows]))
+
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else kernel.counter(source, mask).units(t) for t in texts.to_pylist()]
-        columns = [pa.array([None if r is None else r[i] for r in rows], pa.int64()) for i in range(3)]
-        return pa.StructArray.from_arrays(columns, names=["n_units", "n_mute", "n_signs"], mask=pa.array([r is None for r in rows]))
+        return _sliced(texts, some)
 
     return run(_column(text).cast("string"))
 
 
+def token_totals(text: Column | str, source: str) -> Column:
+    """(n_all, n_accents): tokens with verbatim pieces, and accents among them; counted without making the tokens."""
+    return _numbers(text, source, ["n_all", "n_accents"], lambda t: kernel.counter(source).total(t))
+
+
+def unit_counts(text: Column | str, source: str, options: int | str = 0) -> Column:
+    """(n_units, n_mute, n_signs): written units, those with a mute consonant and those with a sign; null for a null text or an unknown source."""
+    mask = _mask(options)
+    return _numbers(text, source, ["n_units", "n_mute", "n_signs"], lambda t: kernel.counter(source, mask).units(t))
+
+
 # ---- built-in functions only
 
 def chars(text: Column | str) -> Column:

@@ -151,3 +151,37 @@ def test_names_modes_and_dialects():
     assert K.empty("ka", "nowhere", "iso") == "" and K.empty(None, "itrans", "iso") is None and K.empty("ka", "itrans", "iso") == "ka"
     assert K.mixed("telugu") == "indic" and K.mixed("iso") == "iso" and K.mixed("nowhere") == "nowhere"
     assert O.parse("TAMILtraditional,  asciinumerals", "loose") == 5 and O.parse("ASCIINumerals x", "plain") == 4 and O.add(1, 4, 5) == 5
+
+
+@pytest.mark.parametrize("source,target,mask", [("itrans", "bengali", 0), ("iast", "readableLatin", 0), ("gurmukhi", "devanagari", 8), ("itrans", "tamil", 2), ("tamil", "readablelatin", 0), ("indic", "iso", 0)])
+def test_remembered_pieces_are_the_whole(source, target, mask):
+    """Words and chunks against the whole text, with verbatim parts, small digits and signs among the spellings."""
+    rng, one = random.Random(7), K.Transliterator(source, target, mask)
+    keys = [*K.reader(source).spellings]
+    extra = ["-", " ", "\t", "#", "<b>", "##ka##", "####", "<", "\0", "X", "² ", "³", "க்", "(சா", "ੱ", "꣡", "Ü", "12"]
+    for _ in range(400):
+        text = "".join(rng.choice(extra if rng.random() < 0.2 else keys) for _ in range(rng.randint(0, 30)))
+        assert one(text) == one.whole(text), text
+        assert K.Counter(source, mask).units(text) == K.Counter(source, mask).whole(text)[1], text
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(K, "MEMO_WORDS", 50)
+    one = K.Transliterator("itrans", "bengali")
+    for n in range(500):
+        one(f"ka{n} ki{n}k {'ka' * 200}{n}")
+    for memo in (one.words, one.pieces, one.after):
+        assert len(memo) <= 50 and len(memo.older) <= 50 and all(len(k) <= K.MEMO_CHARS for k in memo)
+
+
+def test_a_tamil_sibilant_after_a_sign_depends_on_the_word_before():
+    for texts in (["கா (சொல்", "க் (சொல்"], ["க் (சொல்", "கா (சொல்"]):
+        one = K.Transliterator("tamil", "iso")
+        assert [one(t) for t in texts] == [one.whole(t) for t in texts]
+
+
+def test_totals_count_tokens_and_runs():
+    for text in ("", "kā#k x--é# <b>ka</b>##a####k̲ ka॒", "ab\0ab", "## open", "a < open", "é##é"):
+        found = [len(K.reader("iso").tokens(text, mask)) for mask in (0, O.IGNORE_ACCENTS)]
+        n_all, n_accents = K.Counter("iso").total(text)
+        assert found == [n_all, n_all - n_accents]
