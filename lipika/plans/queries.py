@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts go to Python
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -90,7 +91,8 @@ def classes_sql(column: str) -> str:
 
 
 def units_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", C.unit_counts("text", "itrans").alias("u")).select("doc_id", "u.n_units", "u.n_mute", "u.n_signs")
+    counted = table(spark, sf_dir, "documents").select("doc_id", C.unit_counts("text", "itrans").alias("u"))
+    return counted.select("doc_id", *[F.coalesce(f"u.{n}", F.lit(0)).alias(n) for n in ("n_units", "n_mute", "n_signs")])
 
 
 def relational_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +118,8 @@ translate(out, {q("".join(A.VEDIC_ACCENTS + A.LATIN_ACCENTS))}, '') AS plain FRO
 
 def accent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accents dropped at the source: all tokens and verbatim parts, with and without the option."""
-    count = lambda mask: F.size(C.tokens("text", "iso", mask)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", count(0).alias("n_all"), count(O.IGNORE_ACCENTS).alias("n_kept"))
+    n = table(spark, sf_dir, "documents").select("doc_id", C.token_totals("text", "iso").alias("n"))
+    return n.select("doc_id", F.coalesce("n.n_all", F.lit(0)).alias("n_all"), F.coalesce(F.col("n.n_all") - F.col("n.n_accents"), F.lit(0)).alias("n_kept"))
 
 
 NAMES = ["Devanagari", "HINDI", "bangla", "odia", "Indic", "iast", "readablelatin", "klingon", "TamilExtended", "", "punjabi", "sanskrit"]

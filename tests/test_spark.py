@@ -133,3 +133,26 @@ def test_sql_form_of_every_indic_target():
     for target in ("assamese", "khmer", "tibetan", "sinhala", "tamilExtended", "titus", "wx"):
         got = con.execute(f"SELECT out FROM {oracle.transliterate('t', 'k', 'x', 'itrans', target)}").fetchone()[0]
         assert got == K.transliterate("namaste paMktI ~Na 12", "itrans", target)
+
+
+def test_long_batches_are_read_in_slices(spark, monkeypatch):
+    """What a batch of long texts makes in Python stays bounded; results are the same."""
+    import pyarrow as pa
+
+    most = []
+    got = C._sliced(pa.array(["ka" * 1000, None, "ki"] * 2000), lambda some: most.append(sum(len(t or "") for t in some)) or pa.array(some))
+    assert got.to_pylist() == ["ka" * 1000, None, "ki"] * 2000 and max(most) < 2 * C.SLICE_BYTES and len(most) > 1
+    assert C._sliced(pa.array([], pa.string()), lambda some: pa.array(some, pa.string())).to_pylist() == []
+
+
+def test_accents_and_units_of_null_texts_are_counted_as_sql_does(spark, tmp_path):
+    texts = [None, "", "kā#k x--é# <b>ka</b>##a####k̲ ka॒", "é KA" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("accent_filter", "units_per_document"):
+        query, sql = queries.pairs()[name]
+        df = query(spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(sql).fetchall()), name
+        assert "array<struct" not in df._jdf.queryExecution().analyzed().toString()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
