@@ -21,11 +21,16 @@ def piece_pattern(source: str) -> str:
     return "(?s)" + "|".join(quoted) + "|<[^>]*>|##(?:[^#]|#[^#])*##|<.*|##.*|."
 
 
+def spelling_pattern(source: str) -> str:
+    """``piece_pattern`` as a tree of characters for Java: the same pieces, found without trying every spelling at every place."""
+    return f"(?s){kernel.longest_of(kernel.reader(source).spellings)}|<[^>]*+>|##(?:[^#]++|#[^#])*+##|<.*|##.*|."
+
+
 def token_rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, pos, class, idx, literal): tokens in order; literals are verbatim parts or single characters."""
     spark = df.sparkSession
     folded = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if kernel.reader(source).fold else F.col(text)
-    pieces = df.select(F.col(key), F.col(text).alias("whole"), F.posexplode(F.regexp_extract_all(folded, F.lit(piece_pattern(source)), F.lit(0))).alias("at", "piece"))
+    pieces = df.select(F.col(key), F.col(text).alias("whole"), F.posexplode(F.regexp_extract_all(folded, F.lit(spelling_pattern(source)), F.lit(0))).alias("at", "piece"))
     if kernel.reader(source).fold:  # verbatim pieces keep their case
         past = F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("at"))
         pieces = pieces.withColumn("spelled", F.substring("whole", (past - F.length("piece") + 1).cast("int"), F.length("piece")))
@@ -66,14 +71,10 @@ def unit_rows(tokens: DataFrame, key: str, source: str) -> DataFrame:
         joins = F.col("headed") & (F.col("head") == "consonant") & ~F.col("first") & (F.col("n") <= 1)
     else:
         joins = F.col("headed") & ~F.col("first") & ((F.col("head") == "consonant") | (F.col("head") == "vowel") & (F.col("n") == 0))
-    rows = rows.withColumn("joins", joins)
-    own = rows.where(~F.col("joins")).select(key, "pos", "grp", "class", "idx", "literal", "first", "headed")
-    slots = (
-        rows.where("joins")
-        .groupBy(key, "grp")
-        .agg(*[F.max_by("idx", F.when(F.col("class").isin(*c), F.col("pos"))).alias(n) for n, c in (("mark", ("mark", "vowel")), ("sign", ("other",)), ("accent", ("accent",)))])
-    )
-    joined = own.join(slots, [key, "grp"], "left")
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    slot = lambda *c: F.max_by("idx", F.when(F.col("joins") & F.col("class").isin(*c), F.col("pos"))).over(whole)
+    rows = rows.withColumn("joins", joins).withColumns({"mark": slot("mark", "vowel"), "sign": slot("other"), "accent": slot("accent")})
+    joined = rows.where(~F.col("joins"))
     head = F.col("first") & F.col("headed")
     mark = F.when(head & (F.col("class") == "consonant"), F.when(F.col("mark").isNull(), 0).otherwise(F.when(F.col("mark") != 0, F.col("mark")))) if latin else F.when(head, F.col("mark"))
     return joined.select(key, "pos", "class", "idx", mark.alias("mark"), F.when(head, F.col("sign")).alias("sign"), F.when(head, F.col("accent")).alias("accent"), "literal")

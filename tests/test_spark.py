@@ -156,3 +156,18 @@ def test_accents_and_units_of_null_texts_are_counted_as_sql_does(spark, tmp_path
         assert sorted(map(tuple, df.collect())) == sorted(con.execute(sql).fetchall()), name
         assert "array<struct" not in df._jdf.queryExecution().analyzed().toString()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_relational_units_cut_texts_once(texts):
+    """Slots come from windows: the texts are not read and cut again for a join of the units with themselves."""
+    plan = R.unit_rows(R.token_rows(texts, "k", "text", "itrans"), "k", "itrans")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
+@pytest.mark.parametrize("source", ["itrans", "iso", "devanagari"])
+def test_spelling_pattern_cuts_as_the_pattern_of_the_sql(spark, source):
+    texts = [t for t in TEXTS if t] + ["a##b#c##d ## e", "x<y", "###a##", "".join(K.reader(source).spellings), "ka##" + "é#x" * 5000 + "##ka"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    con = duckdb.connect()
+    for (text,), row in zip(df.collect(), df.select(F.regexp_extract_all("t", F.lit(R.spelling_pattern(source)), F.lit(0))).collect()):
+        assert row[0] == con.execute("SELECT regexp_extract_all(?, ?)", [text, R.piece_pattern(source)]).fetchone()[0]
