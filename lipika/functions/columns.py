@@ -6,25 +6,31 @@ Arrow batches, without shuffle; tables are compiled once in each worker.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
-from lipika.functions import alphabets as A, kernel, options as O
+from lipika.functions import alphabets as A, batches, kernel, options as O
 
 TOKEN = "struct<pos:int,class:string,idx:int,kind:string,literal:string>"
 UNIT = "struct<pos:int,class:string,idx:int,mark:int,sign:int,accent:int,literal:string>"
 
 
-#: Bytes of text that are Python objects at a time.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are Python objects at a time, and that ``batches`` has in its arrays, of some fifty times as many bytes.
+SLICE_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
+
+
+def _slices(texts: pa.Array, make: Callable[[pa.Array], pa.Array], most: int) -> pa.Array:
+    """``make`` over the texts, a slice at a time."""
+    step = max(1, len(texts) * most // max(texts.nbytes, 1))
+    return pa.concat_arrays([make(texts.slice(at, step)) for at in range(0, max(len(texts), 1), step)])
 
 
 def _sliced(texts: pa.Array, make: Callable[[list[str | None]], pa.Array]) -> pa.Array:
-    """``make`` over the texts, a slice at a time: a batch of long texts is never whole in Python."""
-    step = max(1, len(texts) * SLICE_BYTES // max(texts.nbytes, 1))
-    return pa.concat_arrays([make(texts.slice(at, step).to_pylist()) for at in range(0, max(len(texts), 1), step)])
+    """As ``_slices``, of Python objects: a batch of long texts is never whole in Python."""
+    return _slices(texts, lambda some: make(some.to_pylist()), SLICE_BYTES)
 
 
 def _lists(rows: list[list[tuple] | None], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
@@ -63,12 +69,16 @@ def transliterate(text: Column | str, source: str, target: str, options: int | s
     if force_indic:
         source = kernel.mixed(source)
     mask = _mask(options)
-    if mode == "strict" and not kernel.Transliterator(source, target, mask).known:
+    known = kernel.transliterator(source, target, mask).known
+    if mode == "strict" and not known:
         return F.lit(None).cast("string")
+    whole = known and mode != "lenient"
     one = MODES[mode]
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
+        if whole:
+            return _slices(texts, batches.batches(source, target, mask), ARRAY_BYTES)
         return _sliced(texts, lambda some: pa.array([one(t, source, target, mask) for t in some], pa.string()))
 
     return run(_column(text).cast("string")).alias("transliterated")
@@ -273,8 +283,6 @@ def option_mask(text: Column | str, dialect: str = "strict") -> Column:
 
 def split_delimiters(text: Column | str, delimiters: str = O.DELIMITERS) -> Column:
     """Pieces between any of the delimiters; empty ones stay, but for a last empty one."""
-    import re
-
     pieces = F.split(_column(text), "[" + re.escape(delimiters) + "]", -1)
     return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
 

@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from lipika.functions import alphabets as A, kernel as K, options as O
+from lipika.functions import alphabets as A, batches, kernel as K, options as O
 
 CASES = [
     # source, target, options, text, expected
@@ -185,3 +186,21 @@ def test_totals_count_tokens_and_runs():
         found = [len(K.reader("iso").tokens(text, mask)) for mask in (0, O.IGNORE_ACCENTS)]
         n_all, n_accents = K.Counter("iso").total(text)
         assert found == [n_all, n_all - n_accents]
+
+
+@pytest.mark.parametrize(
+    "source,target,mask",
+    [("itrans", "thai", 0), ("itrans", "kannada", 4), ("iast", "devanagari", 0), ("iso", "readableLatin", 0), ("gurmukhi", "devanagari", 8), ("itrans", "tamil", 2), ("tamil", "readablelatin", 0), ("indic", "iso", 0)],
+)
+def test_batches_are_the_kernels_texts(source, target, mask):
+    """Whole Arrow batches, with nulls, verbatim parts, Tamil letters and signs among the spellings, and off the array's start; words are no Python objects."""
+    rng, one, batch = random.Random(11), K.Transliterator(source, target, mask), batches.Batches(source, target, mask)
+    keys = [*K.reader(source).spellings]
+    extra = [" ", "\n", "\t", "#", "<b>", "##ka##", "####", "<", "\0", "X", "²", "(சா", "ੱ", "꣡", "Ü", "中", "𝒳", "12"]
+    for _ in range(60):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(extra if rng.random() < 0.2 else keys) for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(0, 8))]
+        assert batch(pa.array(["k", *texts, "k"], pa.string()).slice(1, len(texts))).to_pylist() == [one(t) for t in texts], texts
+    if not one.to_tamil and not one.tamil:
+        known = K.transliterator(source, target, mask)
+        known.words.clear()
+        assert batch(pa.array(["ka ki\nx"] * 3)).to_pylist() == [one("ka ki\nx")] * 3 and not known.words
