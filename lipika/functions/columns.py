@@ -7,7 +7,7 @@ Arrow batches, without shuffle; tables are compiled once in each worker.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
@@ -246,6 +246,34 @@ def drop_accents(text: Column | str) -> Column:
     return F.translate(_column(text), "".join(A.VEDIC_ACCENTS + A.LATIN_ACCENTS), "")
 
 
+def cleanings(text: Column | str) -> Column:
+    """(stripped, numerals, plain): what ``strip_markers``, ``ascii_numerals`` and ``drop_accents`` give, in one pass of Python beside a transliteration.
+
+    ``translate`` looks every character up; a pattern finds the few that change.
+    """
+    digits = {ord(d): str(i) for s in A.scripts().values() if s.kind != A.LATIN for i, d in enumerate(s.glyphs[A.SYMBOL][:10])}
+    markers, accents = (_any_of(cs) for cs in (A.MARKERS, "".join(A.VEDIC_ACCENTS + A.LATIN_ACCENTS)))
+    numerals = _any_of(map(chr, digits))
+
+    def some(texts: list[str | None]) -> pa.Array:
+        made = [
+            [t and re.sub(markers, "", t) for t in texts],
+            [t and re.sub(numerals, lambda m: m[0].translate(digits), t) for t in texts],
+            [t and re.sub(accents, "", t) for t in texts],
+        ]
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in made], names=["stripped", "numerals", "plain"])
+
+    @F.arrow_udf("struct<stripped:string,numerals:string,plain:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _sliced(texts, some)
+
+    return run(_column(text).cast("string"))
+
+
+def _any_of(chars: Iterable[str]) -> str:
+    return "[" + "".join(map(re.escape, chars)) + "]+"
+
+
 def is_script_supported(name: Column | str) -> Column:
     """Whether a script or alias has the name, without regard to case; ``indic`` is none."""
     return F.lower(_column(name)).isin([n.lower() for n in A.supported_names() if n != "indic"])

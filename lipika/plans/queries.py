@@ -105,8 +105,7 @@ def relational_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strippers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = C.transliterate("text", "itrans", "telugu", O.RETAIN_MARKERS)
-    there = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
-    return there.select("doc_id", C.strip_markers("t").alias("stripped"), C.ascii_numerals("t").alias("numerals"), C.drop_accents("t").alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.cleanings(text).alias("t")).select("doc_id", "t.stripped", "t.numerals", "t.plain")
 
 
 def strippers_sql() -> str:

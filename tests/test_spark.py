@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lipika.functions import columns as C, kernel as K
+from lipika.functions import alphabets as A, columns as C, kernel as K
 from lipika.operators import relational as R
 from lipika.plans import oracle, queries
 from lipika.sources import catalog
@@ -171,3 +171,14 @@ def test_spelling_pattern_cuts_as_the_pattern_of_the_sql(spark, source):
     con = duckdb.connect()
     for (text,), row in zip(df.collect(), df.select(F.regexp_extract_all("t", F.lit(R.spelling_pattern(source)), F.lit(0))).collect()):
         assert row[0] == con.execute("SELECT regexp_extract_all(?, ?)", [text, R.piece_pattern(source)]).fetchone()[0]
+
+
+def test_cleanings_are_what_translate_gives(spark):
+    """All three in one pass of Python over the transliterated text, as the registered query asks for them."""
+    marks = A.MARKERS + "".join(A.VEDIC_ACCENTS + A.LATIN_ACCENTS)
+    df = spark.createDataFrame([(t,) for t in (None, "", "a", f"x{marks}1२३ ౪5{marks[::-1]}𑓑", *(t for t in TEXTS if t))], "t string")
+    got = df.select(C.cleanings("t").alias("c"), C.strip_markers("t").alias("a"), C.ascii_numerals("t").alias("b"), C.drop_accents("t").alias("d")).collect()
+    assert [tuple(r["c"]) for r in got] == [(r["a"], r["b"], r["d"]) for r in got]
+    spark.createDataFrame([(1, "ka")], "doc_id long, text string").createOrReplaceTempView("one")
+    plan = spark.table("one").select(C.cleanings(C.transliterate("text", "itrans", "telugu")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
