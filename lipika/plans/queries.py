@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts go to Python
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(C.SLICE_BYTES))  # and come back in up to ten times their bytes
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

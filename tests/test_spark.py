@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,11 @@ def test_cleanings_are_what_translate_gives(spark):
     spark.createDataFrame([(1, "ka")], "doc_id long, text string").createOrReplaceTempView("one")
     plan = spark.table("one").select(C.cleanings(C.transliterate("text", "itrans", "telugu")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    queries.table(spark, "/root/testdata/sf0.001", "documents")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == C.SLICE_BYTES
+    seen = []
+    C._slices(pa.array(["ka" * 50_000] * 40), lambda some: seen.append(some.nbytes) or some, C.ARRAY_BYTES)
+    assert max(seen) <= 2 * C.ARRAY_BYTES and len(seen) > 10
